@@ -164,6 +164,30 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return ByteCnn.fresh(languages).train(windows, np.array([index[x] for x in sample["label"]]))
 
 
+def judged(texts: list[bytes | None], model: ByteCnn | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text (see ``predict``)."""
+    names, scores = ["und"] * len(texts), [1.0] * len(texts)
+    able = [i for i, t in enumerate(texts) if t and has_letter(t)]
+    if model is None:
+        for i in able:
+            scores[i] = 0.0
+    elif able:
+        parts = [windows_of(texts[i]) for i in able]
+        windows = np.concatenate(parts)
+        begins = np.cumsum([0, *map(len, parts[:-1])])
+        z = model.logits(windows).astype(np.float64)
+        z -= z.max(axis=1, keepdims=True)
+        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        filled = (windows != 256).sum(axis=1)
+        mean = np.add.reduceat(logp * filled[:, None], begins, axis=0) / np.add.reduceat(filled, begins)[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for i, row in zip(able, p):
+            best = int(row.argmax())
+            names[i], scores[i] = model.languages[best], float(row[best])
+    return names, scores
+
+
 def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` and the columns of ``keep``; one row per input row.
 
@@ -175,27 +199,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=2 << 20):
-            texts = raw_texts(batch)
-            names, scores = ["und"] * len(texts), [1.0] * len(texts)
-            able = [i for i, t in enumerate(texts) if t and has_letter(t)]
-            if model is None:
-                for i in able:
-                    scores[i] = 0.0
-            elif able:
-                parts = [windows_of(texts[i]) for i in able]
-                counts = np.array([len(p) for p in parts])
-                windows = np.concatenate(parts)
-                z = model.logits(windows).astype(np.float64)
-                z -= z.max(axis=1, keepdims=True)
-                logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-                filled = (windows != 256).sum(axis=1)
-                sums = np.add.reduceat(logp * filled[:, None], np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
-                mean = sums / np.add.reduceat(filled, np.concatenate([[0], np.cumsum(counts)[:-1]]))[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                for i, row in zip(able, p):
-                    best = int(row.argmax())
-                    names[i], scores[i] = model.languages[best], float(row[best])
+            names, scores = judged(raw_texts(batch), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", *keep, "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).alias("text"))
@@ -203,6 +207,23 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     return slim.mapInArrow(run, f"doc_id long, {kinds}lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The input's rows whose language is told with a score of at least ``least``; all columns stay.
+
+    Null texts and texts without a letter go; without a model nothing is told
+    and all rows go.
+    """
+    tagged = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, most=2 << 20):
+            told = [n != "und" and s >= least for n, s in zip(*judged(raw_texts(batch), model))]
+            yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(told, pa.bool_()))], ["row"])
+
+    kept = tagged.mapInArrow(run, tagged.select("row").schema)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the ids whose crc32 (of the id as text) leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -80,6 +80,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return per_row.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+    """The mix itself: the input's rows, each once for every epoch that takes words of it; all columns stay.
+
+    The copy at which the budget is spent stays whole, so the mix may exceed
+    its budget by less than a document.  Rows that the mix takes nothing of,
+    those without words among them, are not in it.
+    """
+    found = mix(docs, id_col, text_col, source_col, share, epochs, weights, seed).where("taken > 0")
+    turns = found.groupBy("doc_id", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_turns"))
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
+    taken = sized.join(turns, sized["_id"].eqNullSafe(turns["doc_id"]) & (sized["_size"] == turns["size"]))
+    copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn"))
+    return copies.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def cut(copies: DataFrame, share: float) -> DataFrame:
     """``copies`` with ``took``: the words taken of each in order of ``finish`` until the budget is spent."""
     far = 8  # finish times of copies that could be taken stay far below: at time 1 all targets are met

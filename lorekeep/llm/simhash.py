@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw_texts, saved, work_folder
+from .common import chunks, mix, raw_texts, saved, work_folder
 from .components import DisjointSets, connected_components
 
 SHINGLE_WORDS = 4
@@ -112,11 +112,16 @@ class BkTree:
         return found
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class PackedBkTree:
     """The same tree for large shards: built and searched level by level with numpy.
 
-    All nodes of a level form one array, so a search of many values handles a
-    level's (value, node) visits in one step.
+    Values are rows of 64-bit words.  All nodes of a level form one array, so
+    a search of many values handles a level's (value, node) visits in one step.
     """
 
     def __init__(self, values: np.ndarray):
@@ -128,7 +133,7 @@ class PackedBkTree:
         done = 0
         members, parent_of = np.arange(1, n), np.zeros(max(n - 1, 0), dtype=np.int64)
         while len(members):
-            d = np.bitwise_count(values[members] ^ values[parent_of]).astype(np.int64)
+            d = distance(values[members], values[parent_of])
             rank = np.lexsort((members, d, parent_of))
             members, parent_of, d = members[rank], parent_of[rank], d[rank]
             new = np.ones(len(members), dtype=bool)
@@ -149,7 +154,7 @@ class PackedBkTree:
         if not len(self.values):
             return
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            d = distance(queries[q], self.values[node])
             hit = d <= radius
             yield q[hit], node[hit]
             many = self.count[node]
@@ -160,22 +165,20 @@ class PackedBkTree:
 
 
 def shard_links(values: np.ndarray, lo: int, hi: int, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the values' graph that the searches ``lo:hi`` find.
+    """Links (by index) of a spanning forest of the values' graph that the searches ``lo:hi`` find.
 
-    Values are distinct.  The forests of all slices together connect what the
-    whole graph connects.
+    The forests of all slices together connect what the whole graph connects.
     """
     n = len(values)
     sets, links = DisjointSets(n), []
     if n <= 64:
-        tree = BkTree()
-        plain = values.tolist()
-        for i, v in enumerate(plain):  # each link is found when its later end comes
+        tree, at = BkTree(), []
+        held: dict[int, int] = {}
+        for i, v in enumerate(int.from_bytes(row.tobytes(), "little") for row in values):  # each link is found when its later end comes
             if lo <= i < hi:
-                for j in tree.within(v, radius):
-                    if sets.union(i, j):
-                        links.append((plain[j], v))
-            tree.add(v)
+                links += [(held[j], i) for j in tree.within(v, radius) if sets.union(held[j], i)]
+            at.append(tree.add(v))
+            held.setdefault(at[-1], i)
         return links
     tree = PackedBkTree(values)
     for at in range(lo, hi, 256):
@@ -184,61 +187,67 @@ def shard_links(values: np.ndarray, lo: int, hi: int, radius: int) -> list[tuple
             later = node < q + at
             for i, j in zip((q[later] + at).tolist(), node[later].tolist()):
                 if sets.union(i, j):
-                    links.append((int(values[j]), int(values[i])))
+                    links.append((j, i))
     return links
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
-    """``a, b``: links that connect all fingerprints (column ``fp``, distinct longs) within ``radius``."""
-    blocks = blocks or radius + 2
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << cuts[c + 1]) - (1 << cuts[c])) for c in chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("shard"))
-    sizes = dealt.groupBy("shard").count().where("count > 1")
-    spark = distinct.sparkSession
-    folder = work_folder(spark)
-    sizes = saved(sizes, f"{folder}/sizes")
+def link_shards(dealt: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links that connect all nodes of each shard whose fingerprints are within ``radius``.
+
+    ``dealt``: ``shard`` (long), ``node`` (long) and ``fp`` (binary, whole
+    64-bit words), each node once in a shard.
+    """
+    sizes = saved(dealt.groupBy("shard").count().where("count > 1"), f"{work_folder(dealt.sparkSession)}/sizes")
     # a shard of more than SLICE fingerprints is sent to one task for each slice of its searches
-    crowded = dealt.join(sizes, "shard").select("fp", "shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / SLICE).cast("int"))).alias("slice"))
+    crowded = dealt.join(sizes, "shard").select("node", "fp", "shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / SLICE).cast("int"))).alias("slice"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if not len(rows):
-                return
-            ends = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
+        def flush(keys: np.ndarray, prints: list[bytes]) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero(np.any(keys[1:, :2] != keys[:-1, :2], axis=1)) + 1
+            values = np.frombuffer(b"".join(prints), "<u8").reshape(len(prints), -1)
             links = []
-            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(rows)]):
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
                 if b - a > 1:
-                    k = int(rows[a, 1])
-                    links += shard_links(rows[a:b, 2].view(np.uint64), k * SLICE, min(b - a, (k + 1) * SLICE), radius)
+                    k = int(keys[a, 1])
+                    links += [(a + i, a + j) for i, j in shard_links(values[a:b], k * SLICE, min(b - a, (k + 1) * SLICE), radius)]
             if links:
-                ends_ = np.array(links, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ends_[:, 0]), pa.array(ends_[:, 1])], ["a", "b"])
+                nodes = keys[:, 2][np.array(links)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1])], ["a", "b"])
 
+        held_keys: list[np.ndarray] = []
+        held: list[bytes] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "slice", "fp")], axis=1)
-            changes = np.flatnonzero(np.any(rows[1:, :2] != rows[:-1, :2], axis=1)) + 1
-            if held and tuple(held[-1][-1, :2]) != tuple(rows[0, :2]):
-                yield from flush(np.concatenate(held))
-                held = []
-            if len(changes):
-                yield from flush(np.concatenate([*held, rows[: changes[-1]]]))
-                held = [rows[changes[-1] :]]
-            else:
-                held.append(rows)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "slice", "node")], axis=1)
+            prints = batch.column("fp").to_pylist()
+            changes = np.flatnonzero(np.any(keys[1:, :2] != keys[:-1, :2], axis=1)) + 1
+            if held and tuple(held_keys[-1][-1, :2]) != tuple(keys[0, :2]):
+                yield from flush(np.concatenate(held_keys), held)
+                held_keys, held = [], []
+            last = int(changes[-1]) if len(changes) else 0
+            if last:
+                yield from flush(np.concatenate([*held_keys, keys[:last]]), held + prints[:last])
+                held_keys, held = [], []
+            held_keys.append(keys[last:])
+            held += prints[last:]
         if held:
-            yield from flush(np.concatenate(held))
+            yield from flush(np.concatenate(held_keys), held)
+
+    ordered = crowded.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "node")
+    return ordered.mapInArrow(run, "a long, b long")
 
-    sorted_ = crowded.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "fp")
-    return sorted_.mapInArrow(run, "a long, b long")
+
+def link_fingerprints(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """``a, b``: links that connect all fingerprints (column ``fp``, distinct longs) within ``radius``."""
+    blocks = blocks or radius + 2
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    keys = []
+    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        mask = sum(((1 << cuts[c + 1]) - (1 << cuts[c])) for c in chosen)
+        mask -= (mask >> 63) << 64
+        keys.append(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(mask))))
+    return link_shards(distinct.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.explode(F.array(*keys)).alias("shard")), radius)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -261,13 +270,48 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 5) -> DataFrame:
-    """The input's rows without all but one (the smallest doc_id) of each component.
+#: Words of 64 bits in the wide fingerprint, and shingles that name a document's shards.
+WIDE = 4
+SHARDS_EACH = 6
+
+
+def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc_id, fp`` (binary, WIDE words) and ``keys``: for each of some orders of all shingles, the least of the document."""
 
-    Shingles take five words and links a similarity of at least 0.8 of the
-    bits, far exceeded by ``radius`` 4 of 64.  Rows with a null id are kept, as nothing names
-    them; of rows that repeat an id, each is kept or dropped alike.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            prints, keys = [], []
+            for text in raw_texts(batch):
+                h = shingle_hashes(text, shingle)
+                prints.append(b"".join(simhash(h if i == 0 else mix(h + np.uint64(i))).to_bytes(8, "little") for i in range(WIDE)))
+                keys.append([int(mix(h ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % (1 << 64))).min().view(np.int64)) if len(h) else 0 for i in range(SHARDS_EACH)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+
+
+def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """The input's rows without all but one (the smallest doc_id) of each group of near-duplicates.
+
+    Documents are near-duplicates if at least ``similarity`` of the bits of
+    their fingerprints agree; groups are the components of these links.  At
+    so wide a radius equal bits narrow nothing down, so fingerprints have
+    WIDE words, and shards are named by the shingles that come first in
+    SHARDS_EACH orders: documents that share a part J of their shingles miss
+    each other in all shards with probability (1 - J) ** SHARDS_EACH, below
+    0.0001 at 0.8.  Inside a shard a BK-tree is searched.
+
+    Null and empty texts are near-duplicates of each other.  Rows with a null
+    id are kept, as nothing names them; rows that repeat an id are kept or
+    dropped alike.  All columns stay.
     """
-    found = simhash_components(docs, id_col, text_col, radius, shingle)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
+    folder = work_folder(docs.sparkSession)
+    prints = saved(wide_prints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("fp", "keys")), f"{folder}/prints")
+    distinct = saved(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), f"{folder}/distinct")
+    dealt = distinct.select("node", "fp", F.posexplode("keys").alias("i", "key")).select("node", "fp", F.xxhash64("i", "key").alias("shard"))
+    groups = connected_components(link_shards(dealt, int(64 * WIDE * (1 - similarity) + 1e-9)))
+    named = saved(distinct.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")), f"{folder}/named")
+    least = named.groupBy("group").agg(F.min("least").alias("kept"))
+    found = prints.select("doc_id", "node").join(named.select("node", "group"), "node").join(least, "group")
+    dropped = found.where(F.col("doc_id") != F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs[id_col].cast("long") == dropped["_dropped"], "left_anti")
