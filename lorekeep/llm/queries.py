@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, bwt, langid, lm, mixing, phrases, pii, quality, simhash
+from . import bpe, bwt, langid, lm, media, mixing, phrases, pii, quality, simhash
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -33,6 +33,12 @@ def op2_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_repeated_phrases(documents(spark, sf_dir), digest=True)
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no images, so each row of ``embeddings`` is drawn as one, every fourth with two edited copies."""
+    ship(spark)
+    return media.image_copies(media.media_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_repeated_phrases": op2_repeated_phrases,
+        "op3_image_copies": op3_image_copies,
         "op4_pii": op4_pii,
         "op5_mixing": op5_mixing,
         "op6_suffix_dedup": op6_suffix_dedup,
