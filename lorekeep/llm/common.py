@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,18 @@ def _remove_all() -> None:
     _made.clear()
 
 
+def release(spark: SparkSession) -> None:
+    """Give back the shuffle files of finished steps: Spark removes them once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, path: str, *by: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    Shuffle files of earlier, finished steps are given back first.
+    """
+    release(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(*by)
@@ -198,3 +210,20 @@ def list_column(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, by planes of bytes, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    parts = [squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) for a in arrays]
+    return b"".join(x for p, a in zip(parts, arrays) for x in (np.array([len(p), len(a), a.itemsize], "<u4").tobytes(), p))
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    out, at, free = [], 0, zstandard.ZstdDecompressor()
+    for kind in kinds:
+        size, n, wide = np.frombuffer(data, "<u4", 3, at).tolist()
+        planes = free.decompress(data[at + 12 : at + 12 + size], max_output_size=max(1, n * wide)) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, n).T).view(kind).reshape(-1) if n else np.empty(0, kind))
+        at += 12 + size
+    return out

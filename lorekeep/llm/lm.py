@@ -17,17 +17,16 @@ entry per chunk.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, mix, raw_texts, saved, word_hashes, work_folder
+from .common import WordHashes, chunks, mix, packed, raw_texts, release, saved, unpacked, word_hashes, work_folder
 
 CHUNK = 4 << 20
 SHARD_BYTES = 8 << 20
@@ -42,23 +41,6 @@ _SCHEMA = "part string, kind int, shard int, payload binary, train_docs long, ke
 _ANSWER = "part string, kind int, shard int, payload binary, n long, v long, kept_n long, kept_v long"
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Integer arrays, by planes of bytes, compressed."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    parts = [squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()) for a in arrays]
-    return b"".join(x for p, a in zip(parts, arrays) for x in (np.array([len(p), len(a), a.itemsize], "<u4").tobytes(), p))
-
-
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    out, at, free = [], 0, zstandard.ZstdDecompressor()
-    for kind in kinds:
-        size, n, wide = np.frombuffer(data, "<u4", 3, at).tolist()
-        planes = free.decompress(data[at + 12 : at + 12 + size], max_output_size=max(1, n * wide)) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(wide, n).T).view(kind).reshape(-1) if n else np.empty(0, kind))
-        at += 12 + size
-    return out
-
-
 def fold_of(doc_id: int | None) -> int:
     """crc32 of the id as text, modulo 10; a null id is learned from (fold -1)."""
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
@@ -92,7 +74,7 @@ def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
     """Kind 0: a chunk's stream; kinds 1 and 2: its words and bigrams for each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, at = WordHashes(), 0
         for batch in chunks(batches, most=CHUNK):
             ids = batch.column("doc_id").to_pylist()
             texts = [(t or b"").translate(_LOWER).split() for t in raw_texts(batch)]
@@ -106,12 +88,13 @@ def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
             vocabulary, stream, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             folds = np.array([fold_of(i) for i in ids])
             train, kept = np.repeat(folds != 0, lengths), np.repeat((folds != 0) & (folds != 1), lengths)
-            name = uuid.uuid4().hex
+            name = f"{TaskContext.get().partitionId()}-{at}"  # the same if the task runs again
+            at += 1
             # the most frequent word first, so that the stream compresses
             rank = np.argsort(-counts, kind="stable")
             place = np.empty(len(rank), np.int64)
             place[rank] = np.arange(len(rank))
-            rows = [(name, 0, None, packed(vocabulary[rank], place[stream].astype("<u4"), lengths.astype("<u4"), folds.astype("<i4"), np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1")), int((folds != 0).sum()), int(((folds != 0) & (folds != 1)).sum()))]
+            rows = [(name, 0, zlib.crc32(name.encode()) % shards, packed(vocabulary[rank], place[stream].astype("<u4"), lengths.astype("<u4"), folds.astype("<i4"), np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1")), int((folds != 0).sum()), int(((folds != 0) & (folds != 1)).sum()))]
             pairs, of, _ = _pairs(vocabulary, stream, lengths)
             for kind, keys, index, parts, bits in ((1, vocabulary, stream, small, 64), (2, pairs, of, shards, 56)):
                 tallies = [np.bincount(index[which], minlength=len(keys)) for which in (train, kept)]
@@ -123,8 +106,11 @@ def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """One shard: corpus counts for each slice; and a row of totals."""
+    """One shard: corpus counts for each slice; and a row of totals.  Streams pass through, with their numbers of documents."""
     parts, kind, shard = table.column("part").to_pylist(), table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+    if kind == 0:
+        none = pa.nulls(len(parts), pa.int64())
+        return pa.table([*(table.column(c) for c in ("part", "kind", "shard", "payload", "train_docs")), none, table.column("kept_docs"), none], names=["part", "kind", "shard", "payload", "n", "v", "kept_n", "kept_v"])
     slices = [unpacked(p, "<u8", "<u4", "<u4") for p in table.column("payload").to_pylist()]
     keys = np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in slices])
     seen, of = np.unique(keys, return_inverse=True)
@@ -146,7 +132,7 @@ class Chunk:
     def __init__(self, stream: pa.Table, answers: pa.Table):
         vocabulary, self.stream, self.lengths, self.folds, self.ids, self.null = unpacked(stream.column("payload")[0].as_py(), "<u8", "<u4", "<u4", "<i4", "<i8", "u1")
         self.stream, self.lengths = self.stream.astype(np.int64), self.lengths.astype(np.int64)
-        slices = sorted(zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("payload").to_pylist()))
+        slices = sorted(zip(answers.column("order").to_pylist(), answers.column("place").to_pylist(), answers.column("counts").to_pylist()))
         both: dict[int, list[list[np.ndarray]]] = {1: [], 2: []}
         for kind, _, data in slices:
             both[kind].append(unpacked(data, "<u4", "<u4"))
@@ -211,13 +197,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-total // SHARD_BYTES))
-    counted = saved(_counted(slim, shards, max(4, shards // 6)), f"{folder}/counted", "kind")
-    streams = counted.where("kind = 0")
-    answers = saved(counted.where("kind > 0").groupBy("kind", "shard").applyInArrow(_answer, _ANSWER), f"{folder}/answers")
+    counted = _counted(slim, shards, max(4, shards // 6)).groupBy("kind", "shard").applyInArrow(_answer, _ANSWER)
+    answers = saved(counted, f"{folder}/answers", "kind")
+    streams = answers.where("kind = 0")
+    del counted
+    release(spark)
     n, v, kept_n, kept_v = (x or 0 for x in answers.where("kind = 1 and part is null").agg(*[F.sum(c) for c in ("n", "v", "kept_n", "kept_v")]).first())
-    train_docs, kept_docs = (x or 0 for x in streams.agg(F.sum("train_docs"), F.sum("kept_docs")).first())
-    slices = answers.where("part is not null").select("part", "kind", "shard", "payload")
-    both = streams.select("part", "payload").groupBy("part").cogroup(slices.groupBy("part"))
+    train_docs, kept_docs = (x or 0 for x in streams.agg(F.sum("n"), F.sum("kept_n")).first())
+    # new names: the two sides of a cogroup must not share columns of one table
+    slices = answers.where("kind > 0 and part is not null").select(F.col("part").alias("chunk"), F.col("kind").alias("order"), F.col("shard").alias("place"), F.col("payload").alias("counts"))
+    both = streams.select("part", "payload").groupBy("part").cogroup(slices.groupBy("chunk"))
 
     def events(stream: pa.Table, slices_: pa.Table) -> pa.Table:
         c = Chunk(stream, slices_)
@@ -231,6 +220,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     seen = both.applyInArrow(events, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(seen[["bucket", "q2", "q1", "n"]].sort_values(["bucket", "q2", "q1"]).to_numpy(), 1 / (kept_v + 1))
 
+    release(spark)
+
     def scored(stream: pa.Table, slices_: pa.Table) -> pa.Table:
         c = Chunk(stream, slices_)
         pair, context, word = c.counts(False, train_docs)
