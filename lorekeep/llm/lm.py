@@ -36,6 +36,7 @@ BUCKETS = 33
 STEPS = 4
 SMOOTHING = 0.1
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+_HELD = "h"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SCHEMA = "part string, kind int, shard int, payload binary, train_docs long, kept_docs long"
 _ANSWER = "part string, kind int, shard int, payload binary, n long, v long, kept_n long, kept_v long"
@@ -73,34 +74,35 @@ def _slices(keys: np.ndarray, counts: list[np.ndarray], shards: int, bits: int)
 def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
     """Kind 0: a chunk's stream; kinds 1 and 2: its words and bigrams for each shard."""
 
+    def part(name: str, ids: list[int | None], texts: list[list[bytes]], folds: np.ndarray, cache: WordHashes) -> pa.RecordBatch:
+        lengths = np.array([len(t) + 1 for t in texts])
+        hashes = np.full(lengths.sum(), _END)
+        inside = np.ones(len(hashes), dtype=bool)
+        inside[np.cumsum(lengths) - 1] = False
+        hashes[inside] = word_hashes([w for t in texts for w in t], cache)
+        vocabulary, stream = np.unique(hashes, return_inverse=True)
+        train, kept = folds != 0, (folds != 0) & (folds != 1)
+        data = packed(stream.astype("<u4"), lengths.astype("<u4"), folds.astype("<i4"), np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1"))
+        rows = [(name, 0, zlib.crc32(name.encode()) % shards, data, int(train.sum()), int(kept.sum()))]
+        pairs, of, _ = _pairs(vocabulary, stream, lengths)
+        for kind, keys, index, parts, bits in ((1, vocabulary, stream, small, 64), (2, pairs, of, shards, 56)):
+            tallies = [np.bincount(index[np.repeat(which, lengths)], minlength=len(keys)) for which in (train, kept)]
+            rows += [(name, kind, s, data, None, None) for s, data in _slices(keys, tallies, parts, bits)]
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["part", "kind", "shard", "payload", "train_docs", "kept_docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, at = WordHashes(), 0
         for batch in chunks(batches, most=CHUNK):
             ids = batch.column("doc_id").to_pylist()
             texts = [(t or b"").translate(_LOWER).split() for t in raw_texts(batch)]
-            lengths = np.array([len(t) + 1 for t in texts])
-            words = word_hashes([w for t in texts for w in t], cache)
-            hashes = np.full(lengths.sum(), _END)
-            ends = np.cumsum(lengths) - 1
-            inside = np.ones(len(hashes), dtype=bool)
-            inside[ends] = False
-            hashes[inside] = words
-            vocabulary, stream, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             folds = np.array([fold_of(i) for i in ids])
-            train, kept = np.repeat(folds != 0, lengths), np.repeat((folds != 0) & (folds != 1), lengths)
-            name = f"{TaskContext.get().partitionId()}-{at}"  # the same if the task runs again
+            for held in (False, True):  # the fold that weights are learned on is a part of its own
+                own = np.flatnonzero((folds == 1) == held)
+                if len(own):
+                    name = f"{TaskContext.get().partitionId()}-{at}{_HELD * held}"  # the same if the task runs again
+                    yield part(name, [ids[i] for i in own], [texts[i] for i in own], folds[own], cache)
             at += 1
-            # the most frequent word first, so that the stream compresses
-            rank = np.argsort(-counts, kind="stable")
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
-            rows = [(name, 0, zlib.crc32(name.encode()) % shards, packed(vocabulary[rank], place[stream].astype("<u4"), lengths.astype("<u4"), folds.astype("<i4"), np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1")), int((folds != 0).sum()), int(((folds != 0) & (folds != 1)).sum()))]
-            pairs, of, _ = _pairs(vocabulary, stream, lengths)
-            for kind, keys, index, parts, bits in ((1, vocabulary, stream, small, 64), (2, pairs, of, shards, 56)):
-                tallies = [np.bincount(index[which], minlength=len(keys)) for which in (train, kept)]
-                rows += [(name, kind, s, data, None, None) for s, data in _slices(keys, tallies, parts, bits)]
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["part", "kind", "shard", "payload", "train_docs", "kept_docs"])
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -117,7 +119,8 @@ def _answer(table: pa.Table) -> pa.Table:
     train = np.bincount(of, weights=np.concatenate([s[1] for s in slices]), minlength=len(seen)).astype("<u4")
     kept = np.bincount(of, weights=np.concatenate([s[2] for s in slices]), minlength=len(seen)).astype("<u4")
     ends = np.cumsum([len(s[0]) for s in slices])
-    answers = [packed(train[of[e - len(s[0]) : e]], kept[of[e - len(s[0]) : e]]) for s, e in zip(slices, ends)]
+    # words come back with their counts: a part's words are its vocabulary
+    answers = [packed(*[s[0]] * (kind == 1), train[of[e - len(s[0]) : e]], kept[of[e - len(s[0]) : e]]) for s, e in zip(slices, ends)]
     n = len(parts)
     totals = [int(train.sum(dtype=np.int64)), int((train > 0).sum()), int(kept.sum(dtype=np.int64)), int((kept > 0).sum())]
     return pa.table([
@@ -130,22 +133,16 @@ class Chunk:
     """A chunk's stream with the corpus counts of its words and bigrams."""
 
     def __init__(self, stream: pa.Table, answers: pa.Table):
-        vocabulary, self.stream, self.lengths, self.folds, self.ids, self.null = unpacked(stream.column("payload")[0].as_py(), "<u8", "<u4", "<u4", "<i4", "<i8", "u1")
+        self.stream, self.lengths, self.folds, self.ids, self.null = unpacked(stream.column("payload")[0].as_py(), "<u4", "<u4", "<i4", "<i8", "u1")
         self.stream, self.lengths = self.stream.astype(np.int64), self.lengths.astype(np.int64)
         slices = sorted(zip(answers.column("order").to_pylist(), answers.column("place").to_pylist(), answers.column("counts").to_pylist()))
-        both: dict[int, list[list[np.ndarray]]] = {1: [], 2: []}
-        for kind, _, data in slices:
-            both[kind].append(unpacked(data, "<u4", "<u4"))
-        words = [np.concatenate(x).astype(np.int64) for x in zip(*both[1])]
-        pairs = [np.concatenate(x).astype(np.int64) for x in zip(*both[2])]
-        order = np.argsort(vocabulary)  # slices follow the hashes
-        self.words = []
-        for w in words:
-            c = np.empty(len(order), np.int64)
-            c[order] = w
-            self.words.append(c)
+        words = [unpacked(data, "<u8", "<u4", "<u4") for kind, _, data in slices if kind == 1]
+        pairs = [unpacked(data, "<u4", "<u4") for kind, _, data in slices if kind == 2]
+        # shards are ranges of hashes, so slices in order of their shards are in order of hashes
+        vocabulary = np.concatenate([np.cumsum(w[0], dtype=np.uint64) for w in words])
+        self.words = [np.concatenate(c).astype(np.int64) for c in list(zip(*words))[1:]]
+        self.pairs = [np.concatenate(c).astype(np.int64) for c in zip(*pairs)]
         _, self.pair, self.context = _pairs(vocabulary, self.stream, self.lengths)
-        self.pairs = pairs
 
     def counts(self, kept: bool, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: count of its bigram, of its context and of itself, in kept or all training text."""
@@ -207,6 +204,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # new names: the two sides of a cogroup must not share columns of one table
     slices = answers.where("kind > 0 and part is not null").select(F.col("part").alias("chunk"), F.col("kind").alias("order"), F.col("shard").alias("place"), F.col("payload").alias("counts"))
     both = streams.select("part", "payload").groupBy("part").cogroup(slices.groupBy("chunk"))
+    is_held = lambda c: F.endswith(F.col(c), F.lit(_HELD))
+    held_parts = streams.where(is_held("part")).select("part", "payload").groupBy("part").cogroup(slices.where(is_held("chunk")).groupBy("chunk"))
 
     def events(stream: pa.Table, slices_: pa.Table) -> pa.Table:
         c = Chunk(stream, slices_)
@@ -217,7 +216,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return pa.table([*[pa.array(rows[:, i]) for i in range(3)], pa.array(many)], names=["bucket", "q2", "q1", "n"])
 
     # quantised, so at most BUCKETS x 160 x 160 rows whatever the corpus
-    seen = both.applyInArrow(events, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    seen = held_parts.applyInArrow(events, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(seen[["bucket", "q2", "q1", "n"]].sort_values(["bucket", "q2", "q1"]).to_numpy(), 1 / (kept_v + 1))
 
     release(spark)
