@@ -84,6 +84,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce(F.when(F.col("some"), covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"), "uppers", "letters", "alpha_words", "stop_words",
     )
+    # a generator: predicates on what follows are not pushed below it, where they would repeat all of the above
+    counted = counted.select(F.inline(F.array(F.struct(*counted.columns))))
     w = F.col("n_words")
     return counted.withColumns({
         "mean_word_length": ratio(F.col("word_chars"), w),
