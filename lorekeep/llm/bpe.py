@@ -129,7 +129,7 @@ class WordBpe:
             mapped = word[1:] if word[0] == "\ud800" else "".join(self.alphabet[b] for b in word.encode())
             ids = self.encode_word(mapped)
             known = " ".join(map(str, ids)), len(ids), self.decode(ids)
-            if len(self.cache) >= CACHE_ENTRIES:
+            if len(self.cache) >= CACHE_ENTRIES // 2:
                 self.cache.clear()
             if len(word) <= SHORT_WORD:
                 self.cache[word] = known

@@ -182,10 +182,10 @@ def spelled_digits(text: Mapped) -> Mapped:
 _AT = r"(?:\x20*[\[({<]\x20*(?:at|AT|At|@)\x20*[\])}>]\x20*|\x20+(?:at|AT|At)\x20+|\x20*@\x20*)"
 _DOT = r"(?:\x20*[\[({<]\x20*(?:dot|DOT|Dot|\.)\x20*[\])}>]\x20*|\x20+(?:dot|DOT|Dot)\x20+|\.)"
 _LABEL = r"[A-Za-z0-9-]++"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*?(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL})+")
+# Chains are taken whole (possessive), whether an address follows or not, so a long one is read once.
+_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+(?:(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL})++)?+")
 _DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\x20*(?:at|@|dot|\.)\x20*[\])}>]|\x20dot\x20")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+)(?=[0-9])")
-_DISGUISE = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})")
 
 
 def at_and_dot(text: Mapped) -> Mapped:
@@ -198,6 +198,8 @@ def at_and_dot(text: Mapped) -> Mapped:
         return text
     edits = []
     for m in _DISGUISED.finditer(text.text):
+        if not m["at"]:
+            continue
         at = m.start("at")
         bare_at = m["at"].strip().lower() == "at"
         tail = text.text[m.end("at") : m.end()]
@@ -210,10 +212,8 @@ def at_and_dot(text: Mapped) -> Mapped:
         edits.append((at, m.end("at"), "@"))
         for part, shift in ((text.text[m.start() : at], m.start()), (tail, m.end("at"))):
             edits += [(shift + d.start(), shift + d.end(), ".") for d in re.finditer(_DOT, part) if d[0] != "."]
-    taken = [(a, b) for a, b, _ in edits]
-    for m in _NUMBER_DOT.finditer(text.text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            edits.append((*m.span(), "."))
+    taken = {a for a, _, _ in edits}
+    edits += [(*m.span(), ".") for m in _NUMBER_DOT.finditer(text.text) if m.start() not in taken]
     return text.rewritten(sorted(edits))
 
 
