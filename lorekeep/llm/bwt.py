@@ -24,68 +24,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, raw_texts, with_key, work_folder
-from .recurrence import Units, joined_ranges, range_arrays, ranges_by_doc, recurring, with_ranges
+from .recurrence import Units, joined_ranges, range_arrays, recurring, with_ranges
 
-PART = 160 << 10
-#: Mixed runs for each shard; one is some 150 bytes.
+PART = 128 << 10
+#: Mixed runs for each shard; one is some 130 bytes.
 RUNS = 4000
-
-
-def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix positions in order, over all texts with a terminator after each, and the symbol before each.
-
-    Symbols are bytes plus 1; terminators are 0 and ordered as their texts.
+#: Bytes in a symbol.  A text is taken as one string of symbols for each phase, so every byte begins a suffix.
+WIDE = 5
+
+
+def symbols_of(texts: list[bytes], wide: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of whole symbols, each with a terminator (0) after it: symbols; and for each string text, phase and length."""
+    flat = np.frombuffer(b"".join(texts) + b"\0" * wide, np.uint8)
+    grams = np.zeros(len(flat) - wide + 1, np.uint64)
+    for i in range(wide):
+        grams = (grams << np.uint64(8)) | flat[i : i + len(grams)]
+    lengths = np.array(list(map(len, texts)))
+    begins = np.cumsum(lengths) - lengths
+    text = np.repeat(np.arange(len(texts)), wide)
+    phase = np.tile(np.arange(wide), len(texts))
+    many = np.maximum(0, (lengths[text] - phase) // wide)
+    ends = np.cumsum(many + 1) - 1
+    index = np.arange(ends[-1] + 1)
+    string = np.repeat(np.arange(len(text)), many + 1)
+    step = index - (ends - many)[string]
+    place = begins[text[string]] + phase[string] + step * wide
+    out = np.where(step < many[string], grams[np.minimum(place, len(grams) - 1)] + np.uint64(1), np.uint64(0))
+    return out, text, phase, many
+
+
+def transform(symbols: np.ndarray, strings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix positions in order, and the symbol before each.
+
+    ``symbols`` are small codes; terminators are 0 and ordered as their strings.
     """
-    flat = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8).astype(np.int64) + 1
-    n = len(flat)
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    flat[ends] = 0
-    rank = flat + len(texts)
-    rank[ends] = np.arange(len(texts))
-    span = 1
-    _, rank = np.unique(rank, return_inverse=True)
-    while True:
-        key = rank * (n + 1)
+    n = len(symbols)
+    rank = symbols.astype(np.int64) + strings
+    ends = np.flatnonzero(symbols == 0)
+    rank[ends] = np.arange(strings)
+    top = int(rank.max()) + 2
+    span, key = 1, rank.copy()
+    while top ** (span + 1) < 1 << 62 and span < 3:  # the first sort sees a few symbols at once
+        key *= top
         key[:-span] += rank[span:] + 1
+        span += 1
+    while True:
         order = np.argsort(key)
         new = np.empty(n, np.int64)
         new[0] = 0
-        sorted_ = key[order]
-        np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:])
+        ordered = key[order]
+        np.cumsum(ordered[1:] != ordered[:-1], out=new[1:])
+        if new[-1] == n - 1 or span > n:
+            return order, symbols[order - 1]
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if new[-1] == n - 1:
-            break
+        key = rank * (n + 1)
+        key[:-span] += rank[span:] + 1
         span *= 2
-    return order, flat[order - 1]
 
 
 def merge(parts: list[tuple[np.ndarray, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms (symbols, number of texts): the interleave vector and each row's common prefix with the row before.
+    """Merge transforms (symbols, number of strings): the interleave vector and each row's common prefix with the row before.
 
     Prefixes are told up to ``most`` symbols: ``most`` stands for as many or more.
     """
     sizes = [len(b) for b, _ in parts]
     symbols = np.concatenate([b for b, _ in parts])
-    _, symbols = np.unique(symbols, return_inverse=True)
-    symbols = symbols.astype(np.uint8)  # UTF-8 has no more than 243 different bytes
+    symbols = symbols.astype(np.uint16 if symbols.max() < 1 << 16 else np.uint32)  # short codes sort by counting
     fixed = np.repeat(np.arange(len(parts), dtype=np.uint8), [m for _, m in parts])
     source = np.repeat(np.arange(len(parts), dtype=np.uint8), sizes)
-    n, texts = len(symbols), len(fixed)
+    n, strings = len(symbols), len(fixed)
     block = np.zeros(n, dtype=np.int32)
     prefix = np.full(n, most, dtype=np.int16)
     prefix[0] = 0
-    before = np.empty(n, np.uint8)
+    before = np.empty(n, symbols.dtype)
     for done in range(most):
         before[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(before, kind="stable")
         came = source[order]
-        came[:texts] = fixed
+        came[:strings] = fixed
         first, held = before[order], block[order]
         new = np.empty(n, dtype=bool)
         new[0] = True
         new[1:] = (first[1:] != first[:-1]) | (held[1:] != held[:-1])
-        new[:texts] = True
+        new[:strings] = True
         settled = np.array_equal(came, source)
         prefix[new & (prefix == most)] = done
         source, old = came, block
@@ -97,72 +119,55 @@ def merge(parts: list[tuple[np.ndarray, int]], most: int) -> tuple[np.ndarray, n
 
 def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, offset and interval of each suffix whose first ``length`` bytes recur among the texts."""
-    parts: list[list[int]] = []
-    size = limit = 0
-    limit = max(PART, sum(map(len, texts)) // 200)
-    for i, t in enumerate(texts):
-        if not parts or size + len(t) > limit:
-            parts.append([])
-            size = 0
-        parts[-1].append(i)
-        size += len(t) + 1
+    wide = next(w for w in (WIDE, 4, 3, 2, 1) if length % w == 0)
+    symbols, text, phase, many = symbols_of(texts, wide)
+    _, codes = np.unique(symbols, return_inverse=True)  # 0 stays 0
+    ends = np.cumsum(many + 1)
+    limit = max(PART, len(symbols) // 200)
+    cuts = np.unique(np.searchsorted(ends, np.arange(limit, len(symbols) + limit, limit), side="left") + 1)
     built, where, offset = [], [], []
-    for part in parts:
-        own = [texts[i] for i in part]
-        order, symbols = transform(own)
-        lengths = np.array([len(t) + 1 for t in own])
-        begins = np.cumsum(lengths) - lengths
-        of = np.repeat(np.arange(len(own)), lengths)[order]
-        built.append((symbols, len(own)))
-        where.append(np.array(part)[of])
-        offset.append(order - begins[of])
-    source, prefix = merge(built, length)
+    for lo, hi in zip([0, *cuts[:-1].tolist()], np.minimum(cuts, len(many)).tolist()):
+        if hi <= lo:
+            continue
+        begin = ends[lo] - many[lo] - 1
+        order, before = transform(codes[begin : ends[hi - 1]], hi - lo)
+        string = np.repeat(np.arange(lo, hi), many[lo:hi] + 1)[order]
+        built.append((before, hi - lo))
+        where.append(string)
+        offset.append(order + begin - (ends - many - 1)[string])
+    source, prefix = merge(built, length // wide)
     rows = np.argsort(source, kind="stable")
-    text, off = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    text[rows], off[rows] = np.concatenate(where), np.concatenate(offset)
-    interval = np.cumsum(prefix < length)
-    inside = np.array(list(map(len, texts)))[text] - off >= length
-    many = np.bincount(interval, weights=inside) > 1
-    take = inside & many[interval]
-    return text[take], off[take], interval[take]
-
-
-def later_in_texts(length: int, runs_each: int = RUNS):
-    """For ``recurring``: settle mixed runs by merged transforms."""
-
-    def settle(docs: DataFrame, runs: DataFrame, folder: str) -> DataFrame:
-        shards = max(16, -(-runs.count() // runs_each))
-
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches):
-                rows: list[tuple] = []
-                ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
-                keys = batch.column("ranges").flatten().field(2).to_numpy(zero_copy_only=False).view(np.uint64)
-                at = 0
-                for i, (text, (a, b)) in enumerate(zip(raw_texts(batch), range_arrays(batch))):
-                    shard = ((keys[at : at + len(a)] >> np.uint64(20)) % np.uint64(shards)).tolist()
-                    at += len(a)
-                    rows += [(s, ids[i], rids[i], x, text[x : y + length]) for s, x, y in zip(shard, a.tolist(), b.tolist())]
-                columns = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["shard", "doc_id", "rid", "a", "piece"])
-
-        def later(table: pa.Table) -> pa.Table:
-            ids, rids, a = (table.column(c).to_numpy() for c in ("doc_id", "rid", "a"))
-            text, off, interval = repeated_windows(table.column("piece").to_pylist(), length)
-            start = a[text].astype(np.int64) + off
-            order = np.lexsort((start, ids[text], interval))
-            text, start, interval = text[order], start[order], interval[order]
-            heads = np.ones(len(interval), dtype=bool)
-            heads[1:] = interval[1:] != interval[:-1]
-            first = np.flatnonzero(heads)[np.cumsum(heads) - 1] if len(heads) else np.empty(0, np.int64)
-            gone = (ids[text] != ids[text[first]]) | (start != start[first])
-            t, x, y = joined_ranges(text[gone], start[gone], start[gone])
-            return pa.table([pa.array(ids[t]), pa.array(rids[t]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["doc_id", "rid", "a", "b"])
-
-        pieces = with_ranges(docs, ranges_by_doc(runs, "key"), "inner").mapInArrow(cut, "shard int, doc_id long, rid long, a int, piece binary")
-        return pieces.groupBy("shard").applyInArrow(later, "doc_id long, rid long, a int, b int")
-
-    return settle
+    string, off = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
+    string[rows], off[rows] = np.concatenate(where), np.concatenate(offset)
+    interval = np.cumsum(prefix < length // wide)
+    inside = many[string] - off >= length // wide
+    take = inside & (np.bincount(interval, weights=inside) > 1)[interval]
+    string, off = string[take], off[take]
+    return text[string], phase[string] + off * wide, interval[take]
+
+
+def later_in_pieces(length: int):
+    """For ``recurring``: settle the pieces of one shard by merged transforms."""
+
+    def later(table: pa.Table) -> pa.Table:
+        ids, rids, a = (table.column(c).to_numpy() for c in ("doc_id", "rid", "a"))
+        text, off, interval = repeated_windows(table.column("payload").to_pylist(), length)
+        start = a[text].astype(np.int64) + off
+        order = np.lexsort((start, ids[text], interval))
+        text, start, interval = text[order], start[order], interval[order]
+        heads = np.ones(len(interval), dtype=bool)
+        heads[1:] = interval[1:] != interval[:-1]
+        first = np.flatnonzero(heads)[np.cumsum(heads) - 1] if len(heads) else np.empty(0, np.int64)
+        gone = (ids[text] != ids[text[first]]) | (start != start[first])
+        # pieces of one document are kept apart by its row key
+        _, doc = np.unique(rids[text[gone]], return_inverse=True) if gone.any() else (None, np.empty(0, np.int64))
+        sample = np.zeros(int(doc.max()) + 1 if len(doc) else 0, np.int64)
+        sample[doc] = text[gone]
+        t, x, y = joined_ranges(doc, start[gone], start[gone])
+        t = sample[t]
+        return pa.table([pa.array(ids[t]), pa.array(rids[t]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["doc_id", "rid", "a", "b"])
+
+    return later
 
 
 def remove_later_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -176,8 +181,8 @@ def remove_later_substrings(docs: DataFrame, length: int = 100, id_col: str = "d
     """
     folder = work_folder(docs.sparkSession)
     marked = with_key(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    units = Units(words=False, length=length, gram=min(12, length), later=True, chunk=2 << 20)
-    found = recurring(marked, units, folder, later_in_texts(length))
+    units = Units(words=False, length=length, gram=min(32, max(1, length // 3)), later=True, chunk=1 << 20)
+    found = recurring(marked, units, folder, later_in_pieces(length), RUNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

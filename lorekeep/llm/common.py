@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -95,9 +96,29 @@ def same_doc(a: DataFrame, b: DataFrame):
     return (a["rid"] == b["rid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
 
 
+_lean: list[bool] = []
+
+
+def lean_memory() -> None:
+    """In a worker: memory of large arrays goes back to the system as soon as they are freed.
+
+    Else the C library keeps it for later, in each worker of an executor.
+    """
+    if not _lean:
+        _lean.append(True)
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:
+        lean_memory()
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -35,15 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, mix, prefix_hashes, raw_texts, same_doc, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes
+from .common import WordHashes, chunks, lean_memory, mix, packed, prefix_hashes, raw_texts, same_doc, saved, sliding_hashes, sliding_leftmost_min, span_hashes, unpacked, word_hashes
 
 #: Distinct runs of one anchor in one chunk beyond which they are compared by window at once.
 CROWD = 64
 #: Text bytes for each shard of anchors.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
 _MANY, _CROWDED = 1, 2
 _ENTRY = np.dtype([("h", "<u8"), ("r", "<u8"), ("d", "<u4"), ("a", "<u4"), ("n", "<u2"), ("f", "u1")])
-_SETTLED, _BY_WINDOW, _BY_TEXT = 1, 2, 3
+_KINDS = ("<u8", "<u8", "<u4", "<u4", "<u2", "u1")
+_ENTRIES, _SETTLED, _BY_WINDOW, _BY_TEXT, _PIECE = range(5)
 
 
 @dataclass(frozen=True)
@@ -97,7 +98,8 @@ def runs_of(values: list[np.ndarray], units: Units) -> tuple[np.ndarray, ...]:
         h = grams[p]
         r = mix(span_hashes(prefix, a, b + size) ^ ((p - a).astype(np.uint64) << np.uint64(20)) ^ (b - a).astype(np.uint64))
         shift = np.array([x for _, x, _ in now])[o] - begins[o]
-        out.append((h, r, np.array([d for d, _, _ in now])[o], a + shift, b + shift))
+        # an anchor's hash is the least of many; mixed again, hashes spread evenly over shards
+        out.append((mix(h + np.uint64(1)), r, np.array([d for d, _, _ in now])[o], a + shift, b + shift))
     if not out:
         empty = np.empty(0, np.int64)
         return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
@@ -123,6 +125,8 @@ _SCHEMA = "kind int, shard int, payload binary, ids binary, doc_id long, rid lon
 
 def _rows(kind, shard=None, payload=None, ids=None, doc=None, a=None, b=None, key=None) -> pa.RecordBatch:
     n = len(payload) if payload is not None else len(a)
+    if isinstance(shard, int):
+        shard = np.full(n, shard, np.int32)
     none = lambda t: pa.nulls(n, t)
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(n, kind, np.int32)), pa.array(shard, pa.int32()) if shard is not None else none(pa.int32()),
@@ -145,6 +149,7 @@ def _sent(h, r, d, a, b, ids: np.ndarray, rids: np.ndarray, shards: int, later:
     """What a chunk settles itself, and its entries for the shards."""
     order = np.lexsort((a, ids[d], r, h))
     h, r, d, a, b = h[order], r[order], d[order], a[order], b[order]
+    own = int(rids[0]) % shards  # rows that only pass through go along with some shard
     heads, of = _groups(h, r)
     size = np.bincount(of, minlength=len(heads)) if len(heads) else np.empty(0, np.int64)
     if later:
@@ -154,7 +159,7 @@ def _sent(h, r, d, a, b, ids: np.ndarray, rids: np.ndarray, shards: int, later:
         done = (size > 1)[of] if len(heads) else np.empty(0, bool)
     x, y, z = joined_ranges(d[done], a[done], b[done])
     if len(x):
-        yield _rows(_SETTLED, doc=(ids[x], rids[x]), a=y, b=z)
+        yield _rows(_SETTLED, shard=own, doc=(ids[x], rids[x]), a=y, b=z)
     sent, many = heads, size > 1
     if later and len(heads):  # rows that share an id and a place, not a text, are none of them earlier
         tied = ~done & (rids[d] != rids[d[first]])
@@ -168,35 +173,43 @@ def _sent(h, r, d, a, b, ids: np.ndarray, rids: np.ndarray, shards: int, later:
     crowd = (kinds > CROWD)[by] if len(tops) else np.empty(0, bool)
     if crowd.any():
         c = e[crowd]
-        yield _rows(_BY_WINDOW, doc=(ids[c["d"]], rids[c["d"]]), a=c["a"].astype(np.int64), b=c["a"].astype(np.int64) + c["n"])
+        yield _rows(_BY_WINDOW, shard=own, doc=(ids[c["d"]], rids[c["d"]]), a=c["a"].astype(np.int64), b=c["a"].astype(np.int64) + c["n"])
         lead = np.zeros(len(e), dtype=bool)
         lead[tops[kinds > CROWD]] = True
         e["f"][lead] |= _CROWDED
         e = e[~crowd | lead]
-    shard = (e["h"] >> np.uint64(32)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    e, shard = e[order], shard[order]
-    at, _ = _groups(shard)
+    # shards are ranges of hashes, so that a slice is sorted and its steps are short
+    bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+    cuts = [0, *np.searchsorted(e["h"], bounds).tolist(), len(e)]
     names, payloads, lists = [], [], []
-    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(e)]):
-        part = e[lo:hi].copy()
-        used, part["d"] = np.unique(part["d"], return_inverse=True)
-        names.append(int(shard[lo]))
-        payloads.append(part.tobytes())
-        lists.append(np.stack([ids[used], rids[used]]).astype("<i8").tobytes())
+    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        if hi > lo:
+            part = e[lo:hi]
+            used, docs = np.unique(part["d"], return_inverse=True)
+            names.append(s)
+            payloads.append(packed(np.diff(part["h"], prepend=np.uint64(0)), part["r"].copy(), docs.astype("<u4"), part["a"].copy(), part["n"].copy(), part["f"].copy()))
+            lists.append(packed(ids[used], rids[used]))
     if names:
-        yield _rows(0, shard=names, payload=payloads, ids=lists)
+        yield _rows(_ENTRIES, shard=names, payload=payloads, ids=lists)
 
 
 def _settle(table: pa.Table, later: bool, by_text: bool) -> pa.Table:
-    """One shard: settle its anchors."""
+    """One shard: settle its anchors; rows that are no entries pass through."""
+    lean_memory()
+    entries = pc.equal(table.column("kind"), _ENTRIES)
+    passed, table = table.filter(pc.invert(entries)), table.filter(entries)
+    if not table.num_rows:
+        return passed
     parts, ids, rids = [], [], []
     base = 0
     for payload, listed in zip(table.column("payload").to_pylist(), table.column("ids").to_pylist()):
-        e = np.frombuffer(payload, _ENTRY).copy()
-        two = np.frombuffer(listed, "<i8").reshape(2, -1)
+        columns = unpacked(payload, *_KINDS)
+        two = unpacked(listed, "<i8", "<i8")
+        e = np.empty(len(columns[0]), _ENTRY)
+        for name, c in zip(_ENTRY.names, columns):
+            e[name] = np.cumsum(c, dtype=np.uint64) if name == "h" else c
         e["d"] += base
-        base += two.shape[1]
+        base += len(two[0])
         parts.append(e)
         ids.append(two[0])
         rids.append(two[1])
@@ -223,7 +236,7 @@ def _settle(table: pa.Table, later: bool, by_text: bool) -> pa.Table:
     for kind, which in ((_BY_WINDOW, crowded & real), (_BY_TEXT if by_text else _BY_WINDOW, mixed)):
         d = e["d"][which]
         out.append(_rows(kind, doc=(id_[d], rid[d]), a=a[which], b=b[which], key=np.ascontiguousarray(e["h"][which])))
-    return pa.Table.from_batches(out)
+    return pa.concat_tables([pa.Table.from_batches(out), passed.select(out[0].schema.names).cast(out[0].schema)])
 
 
 def _flags(at: np.ndarray, n: int) -> np.ndarray:
@@ -233,7 +246,7 @@ def _flags(at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _settled(entries: DataFrame, later: bool, by_text: bool) -> DataFrame:
-    return entries.where("kind = 0").groupBy("shard").applyInArrow(lambda t: _settle(t, later, by_text), _SCHEMA)
+    return entries.groupBy("shard").applyInArrow(lambda t: _settle(t, later, by_text), _SCHEMA)
 
 
 def ranges_by_doc(rows: DataFrame, *more: str) -> DataFrame:
@@ -256,11 +269,13 @@ def range_arrays(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(a[e - n : e], b[e - n : e]) for e, n in zip(ends, counts)]
 
 
-def recurring(docs: DataFrame, units: Units, folder: str, by_text: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def recurring(docs: DataFrame, units: Units, folder: str, settle_pieces: Callable[[pa.Table], pa.Table] | None = None, pieces_each: int = 4000) -> DataFrame:
     """``doc_id, rid, ranges`` for ``docs`` (see ``with_key``; ``doc_id`` not null): ranges of window starts that recur.
 
-    ``by_text(docs, runs, folder)`` may settle the mixed runs (``doc_id, rid,
-    a, b, key``) in its own way; else they are compared by window hash.
+    ``settle_pieces`` may settle the mixed runs in its own way: it gets a
+    table of ``doc_id, rid, a, payload`` (the bytes of a run's windows, which
+    begin at ``a``), with all runs of an anchor in one table, and returns
+    ``doc_id, rid, a, b``.  Else they are compared by window hash.
     Everything between stages is written to ``folder``.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -273,28 +288,41 @@ def recurring(docs: DataFrame, units: Units, folder: str, by_text: Callable[[Dat
             h, r, d, a, b = runs_of([units.values(t or b"", cache) for t in raw_texts(batch)], units)
             yield from _sent(h, r, d, a, b, ids, rids, shards, units.later)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = saved(_settled(docs.mapInArrow(scan, _SCHEMA), units.later, settle_pieces is not None), f"{folder}/anchors", "kind")
+    mixed = first.where(F.col("kind").isin(_BY_WINDOW, _BY_TEXT))
+    tables = max(16, -(-first.where(F.col("kind") == _BY_TEXT).count() // pieces_each)) if settle_pieces else 1
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in chunks(batches, most=units.chunk):
             ids, rids = (batch.column(c).to_numpy() for c in ("doc_id", "rid"))
-            hs, ds, ss = [], [], []
+            hs, ds, ss = ([np.empty(0, t)] for t in (np.uint64, np.int64, np.int64))
+            places: list[tuple[int, int, int, bytes]] = []
+            extra = batch.column("ranges").flatten()
+            keys, by_text = pc.fill_null(extra.field(2), 0).to_numpy(zero_copy_only=False).view(np.uint64), extra.field(3).to_numpy(zero_copy_only=False) == _BY_TEXT
+            at = 0
             for d, (text, (a, b)) in enumerate(zip(raw_texts(batch), range_arrays(batch))):
+                cut, key = by_text[at : at + len(a)], keys[at : at + len(a)]
+                at += len(a)
+                places += [(int((k >> np.uint64(20)) % np.uint64(tables)), d, x, text[x : y + units.length]) for k, x, y in zip(key[cut], a[cut].tolist(), b[cut].tolist())]
+                if cut.all():
+                    continue
                 v = units.values(text or b"", cache)
-                _, a, b = joined_ranges(np.zeros(len(a), np.int64), a.astype(np.int64), b.astype(np.int64))
+                _, a, b = joined_ranges(np.zeros(int((~cut).sum()), np.int64), a[~cut].astype(np.int64), b[~cut].astype(np.int64))
                 s = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)])
                 hs.append(span_hashes(prefix_hashes(v), s, s + units.length))
                 ds.append(np.full(len(s), d))
                 ss.append(s)
             h, d, s = np.concatenate(hs), np.concatenate(ds), np.concatenate(ss)
             yield from _sent(h, np.zeros(len(h), np.uint64), d, s, s, ids, rids, shards, units.later)
-
-    first = saved(docs.mapInArrow(scan, _SCHEMA), f"{folder}/anchors", "kind")
-    second = saved(_settled(first, units.later, by_text is not None), f"{folder}/settled", "kind")
-    found = first.where(f"kind = {_SETTLED}").unionByName(second.where(f"kind = {_SETTLED}")).select("doc_id", "rid", "a", "b")
-    fine = first.where(f"kind = {_BY_WINDOW}").unionByName(second.where(f"kind = {_BY_WINDOW}"))
-    third = saved(with_ranges(docs, ranges_by_doc(fine), "inner").mapInArrow(windows, _SCHEMA), f"{folder}/windows", "kind")
-    fourth = _settled(third, units.later, False)
-    found = found.unionByName(third.where(f"kind = {_SETTLED}").select("doc_id", "rid", "a", "b")).unionByName(fourth.where(f"kind = {_SETTLED}").select("doc_id", "rid", "a", "b"))
-    if by_text:
-        found = found.unionByName(by_text(docs, second.where(f"kind = {_BY_TEXT}").select("doc_id", "rid", "a", "b", "key"), f"{folder}/texts"))
+            if places:
+                shard, d, x, data = zip(*places)
+                d, x = np.array(d), np.array(x)
+                yield _rows(_PIECE, shard=shard, payload=data, doc=(ids[d], rids[d]), a=x, b=x)
+
+    marks = ["doc_id", "rid", "a", "b"]
+    second = saved(with_ranges(docs, ranges_by_doc(mixed, "key", "kind"), "inner").mapInArrow(compare, _SCHEMA), f"{folder}/compared", "kind")
+    found = first.where(F.col("kind") == _SETTLED).select(marks).unionByName(_settled(second.where(F.col("kind").isin(_ENTRIES, _SETTLED)), units.later, False).select(marks))
+    if settle_pieces:
+        found = found.unionByName(second.where(F.col("kind") == _PIECE).groupBy("shard").applyInArrow(lambda t: settle_pieces(t), "doc_id long, rid long, a int, b int"))
     return saved(ranges_by_doc(found), f"{folder}/found")
