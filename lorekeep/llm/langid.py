@@ -29,6 +29,8 @@ SAMPLE_ROWS = 1500
 SAMPLE_WINDOWS = 3
 #: Languages learned, the most frequent first.
 MOST_LANGUAGES = 400
+#: Least number of training steps.
+STEPS = 800
 #: Windows that go through the filters at once.
 STEP = 64
 _LETTER = re.compile(r"[^\W\d_]")
@@ -161,7 +163,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = sample.sort_values(["label", "window"], kind="stable")
     windows = np.stack([np.frombuffer(bytes(w), "<i2") for w in sample["window"]]).astype(np.int16)
     index = {name: i for i, name in enumerate(languages)}
-    return ByteCnn.fresh(languages).train(windows, np.array([index[x] for x in sample["label"]]))
+    # small samples are gone through more often, so that training takes some STEPS steps at least
+    epochs = max(4, -(-STEPS * 64 // len(windows)))
+    return ByteCnn.fresh(languages).train(windows, np.array([index[x] for x in sample["label"]]), epochs)
 
 
 def judged(texts: list[bytes | None], model: ByteCnn | None) -> tuple[list[str], list[float]]:
