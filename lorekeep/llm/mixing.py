@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: one row per input row.
+    """``doc_id, source, size, source_size, target, taken``: one row per input row.
 
     ``size`` is the number of words (null text: 0), ``taken`` the words that
     the mix takes of the row, over all epochs: whole copies, but for the copy
@@ -77,20 +77,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = copies.withColumn("finish", F.when(F.col("target") > 0, tokens_then / F.col("target")).otherwise(F.shiftrightunsigned("place", 11) / F.lit(2.0**53)))  # nothing to take: anywhere
     taken = cut(copies, share)
     per_row = taken.groupBy("doc_id", "source", "size", "copy").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("took").cast("long").alias("taken"))
-    return per_row.select("doc_id", "size", "source_size", "target", "taken")
+    return per_row.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, epochs: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """The mix itself: the input's rows, each once for every epoch that takes words of it; all columns stay.
 
     The copy at which the budget is spent stays whole, so the mix may exceed
-    its budget by less than a document.  Rows that the mix takes nothing of,
+    its budget by less than a document.  Rows that agree in id, source and
+    size are taken equally often.  Rows that the mix takes nothing of,
     those without words among them, are not in it.
     """
     found = mix(docs, id_col, text_col, source_col, share, epochs, weights, seed).where("taken > 0")
-    turns = found.groupBy("doc_id", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_turns"))
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    taken = sized.join(turns, sized["_id"].eqNullSafe(turns["doc_id"]) & (sized["_size"] == turns["size"]))
+    turns = found.groupBy("doc_id", "source", "size").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_turns"))
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
+    taken = sized.join(turns, sized["_id"].eqNullSafe(turns["doc_id"]) & sized["_source"].eqNullSafe(turns["source"]) & (sized["_size"] == turns["size"]))
     copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_turns"))).alias("_turn"))
     return copies.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
