@@ -10,14 +10,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import is_number
+
+def is_number(tag: Column) -> Column:
+    return tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL")
+
+
+def member(v: Column, name: str) -> Column:
+    """The value under a key taken literally, as a variant; null if it is missing."""
+    for quote in ("'", '"'):
+        if quote not in name and "\\" not in name:
+            return F.try_variant_get(v, f"$[{quote}{name}{quote}]", "variant")
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
 
 
 class Field:
     """One field of a payload column (JSON text or variant)."""
 
     def __init__(self, data: Column, name: str, variant: bool = False):
-        self.v = F.try_variant_get(data if variant else F.try_parse_json(data), "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
+        self.v = member(data if variant else F.try_parse_json(data), name)
         self.tag = F.schema_of_variant(self.v)
         self.missing = self.v.isNull()
         self.null = F.coalesce(F.is_variant_null(self.v), F.lit(False))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType, VariantType
 
+from .functions.jsonval import is_number, member
+
 RECORD = "record_id string, schema string, namespace string, created_by string, created_at_ms bigint, data string, previous_version string, sig string"
 RECORD_LOG = f"{RECORD}, branch string, op string, seq bigint, origin_seq bigint, is_tombstone boolean, tail_visible boolean"
 NAMESPACE = "id string, name string, owner string, description string, created_at_ms bigint, encrypted boolean, schemas array<string>"
@@ -78,7 +80,7 @@ def _type_error(v: Column, tag: Column, kind: FieldType, name: str, depth: int =
     if kind.name == "array":
         items = F.try_variant_get(v, "$", "array<variant>")
         each = F.transform(items, lambda x, i: _type_error(x, F.schema_of_variant(x), kind.item, f"{name}[]", depth + 1))
-        return F.when(~tag.startswith("ARRAY"), said("array")).otherwise(F.element_at(F.filter(each, lambda m: m.isNotNull()), 1) if depth == 0 else F.get(F.filter(each, lambda m: m.isNotNull()), 0))
+        return F.when(~tag.startswith("ARRAY"), said("array")).otherwise(F.get(F.filter(each, lambda m: m.isNotNull()), 0))
     ok = {
         "string": tag == "STRING", "blob": tag == "STRING", "boolean": tag == "BOOLEAN",
         "integer": (tag == "BIGINT") | (tag == "DECIMAL(20,0)"), "timestamp": (tag == "BIGINT") | (tag == "DECIMAL(20,0)"), "float": is_number(tag),
@@ -86,10 +88,6 @@ def _type_error(v: Column, tag: Column, kind: FieldType, name: str, depth: int =
     return F.when(~ok, said(kind.name))
 
 
-def is_number(tag: Column) -> Column:
-    return tag.isin("BIGINT", "DOUBLE", "FLOAT") | tag.startswith("DECIMAL")
-
-
 def value_type_name(tag: Column) -> Column:
     """The name of a JSON value's type."""
     return F.when(tag == "VOID", "null").when(tag == "BOOLEAN", "boolean").when(is_number(tag), "number").when(tag == "STRING", "string").when(tag.startswith("ARRAY"), "array").otherwise("object")
@@ -104,8 +102,7 @@ def validation_error(data: Column, fields: list[SchemaField]) -> Column:
     v = F.try_parse_json(data)
     checks = []
     for f in fields:
-        path = "$['" + f.name.replace("'", "\\'") + "']"
-        x = F.try_variant_get(v, path, "variant")
+        x = member(v, f.name)
         wrong = _type_error(x, F.schema_of_variant(x), f.field_type, f.name)
         missing = F.lit(f"missing required field '{f.name}'") if f.required else F.lit(None).cast("string")
         checks.append(F.when(x.isNull(), missing).otherwise(wrong))
