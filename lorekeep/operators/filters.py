@@ -8,7 +8,7 @@ about types (1 is not 1.0); order compares numbers as doubles.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -27,6 +27,10 @@ class Filter:
     def compile(self, frame: Fields) -> Column:
         raise NotImplementedError
 
+    def where(self, frame: Fields) -> Column:
+        """For a WHERE clause, where null is as good as false: comparisons stay bare and reach the scan."""
+        return self.compile(replace(frame, positive=True))
+
     def __and__(self, other: Filter) -> Filter:
         return And([self, other])
 
@@ -50,6 +54,8 @@ class Fields:
     promoted: dict[str, str] = field(default_factory=dict)
     kinds: dict[str, type] = field(default_factory=dict)
     variant: bool = False
+    #: Nulls may stand for false: nothing above negates.
+    positive: bool = False
 
     def get(self, name: str) -> Field:
         return Field(F.col(self.data), name, self.variant)
@@ -59,8 +65,8 @@ def _kind(v: Json) -> type | None:
     return None if v is None else bool if isinstance(v, bool) else type(v)
 
 
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+def _sure(c: Column, frame: Fields) -> Column:
+    return c if frame.positive else F.coalesce(c, F.lit(False))
 
 
 def _deep_equal(data: Column, name: str, want: Json) -> Column:
@@ -99,21 +105,21 @@ class Eq(Filter):
     def compile(self, frame: Fields) -> Column:
         kind = _kind(self.value)
         if self.field in frame.promoted:
-            return _sure(F.col(frame.promoted[self.field]) == F.lit(self.value)) if kind is frame.kinds[self.field] else F.lit(False)
+            return _sure(F.col(frame.promoted[self.field]) == F.lit(self.value), frame) if kind is frame.kinds[self.field] else F.lit(False)
         if kind in (list, dict):
             data = F.col(frame.data)
-            return _sure(_deep_equal(F.to_json(data) if frame.variant else data, self.field, self.value))
+            return _sure(_deep_equal(F.to_json(data) if frame.variant else data, self.field, self.value), frame)
         f = frame.get(self.field)
         if kind is None:
             return f.null
         if kind is bool:
-            return _sure(f.boolean == F.lit(self.value))
+            return _sure(f.boolean == F.lit(self.value), frame)
         if kind is str:
-            return _sure(f.string == F.lit(self.value))
+            return _sure(f.string == F.lit(self.value), frame)
         if kind is int:
             small = -(1 << 63) <= self.value < 1 << 63
-            return _sure((f.tag == ("BIGINT" if small else "DECIMAL(20,0)")) & (f.typed("bigint" if small else "decimal(20,0)") == F.lit(self.value).cast("bigint" if small else "decimal(20,0)")))
-        return _sure((f.tag.isin("DOUBLE", "FLOAT") | f.tag.startswith("DECIMAL")) & (f.typed("double") == F.lit(float(self.value))))
+            return _sure((f.tag == ("BIGINT" if small else "DECIMAL(20,0)")) & (f.typed("bigint" if small else "decimal(20,0)") == F.lit(self.value).cast("bigint" if small else "decimal(20,0)")), frame)
+        return _sure((f.tag.isin("DOUBLE", "FLOAT") | f.tag.startswith("DECIMAL")) & (f.typed("double") == F.lit(float(self.value))), frame)
 
 
 @dataclass
@@ -124,7 +130,7 @@ class Ne(Filter):
     value: Json
 
     def compile(self, frame: Fields) -> Column:
-        return ~Eq(self.field, self.value).compile(frame)
+        return ~Eq(self.field, self.value).compile(replace(frame, positive=False))
 
 
 @dataclass
@@ -141,16 +147,16 @@ class _Order(Filter):
         kind = _kind(self.value)
         if self.field in frame.promoted:
             alike = kind is frame.kinds[self.field] or {kind, frame.kinds[self.field]} <= {int, float}
-            return _sure(self._test(F.col(frame.promoted[self.field]), F.lit(float(self.value) if kind is int and frame.kinds[self.field] is float else self.value))) if alike and kind is not None else F.lit(False)
+            return _sure(self._test(F.col(frame.promoted[self.field]), F.lit(float(self.value) if kind is int and frame.kinds[self.field] is float else self.value)), frame) if alike and kind is not None else F.lit(False)
         f = frame.get(self.field)
         if kind is None:
             return f.null if self.equal else F.lit(False)
         if kind in (int, float):
-            return _sure(self._test(f.number, F.lit(float(self.value))))
+            return _sure(self._test(f.number, F.lit(float(self.value))), frame)
         if kind is str:
-            return _sure(self._test(f.string, F.lit(self.value)))
+            return _sure(self._test(f.string, F.lit(self.value)), frame)
         if kind is bool:
-            return _sure(self._test(f.boolean, F.lit(self.value)))
+            return _sure(self._test(f.boolean, F.lit(self.value)), frame)
         return F.lit(False)
 
 
@@ -188,8 +194,8 @@ class _Text(Filter):
 
     def compile(self, frame: Fields) -> Column:
         if self.field in frame.promoted:
-            return _sure(self._test(F.col(frame.promoted[self.field]))) if frame.kinds[self.field] is str else F.lit(False)
-        return _sure(self._test(frame.get(self.field).string))
+            return _sure(self._test(F.col(frame.promoted[self.field])), frame) if frame.kinds[self.field] is str else F.lit(False)
+        return _sure(self._test(frame.get(self.field).string), frame)
 
 
 class Contains(_Text):
@@ -207,7 +213,7 @@ class CreatedBy(Filter):
     key: str
 
     def compile(self, frame: Fields) -> Column:
-        return _sure(F.col("created_by") == F.lit(self.key))
+        return _sure(F.col("created_by") == F.lit(self.key), frame)
 
 
 @dataclass
@@ -215,7 +221,7 @@ class CreatedAfter(Filter):
     at_ms: int
 
     def compile(self, frame: Fields) -> Column:
-        return _sure(F.col("created_at_ms") > F.lit(self.at_ms))
+        return _sure(F.col("created_at_ms") > F.lit(self.at_ms), frame)
 
 
 @dataclass
@@ -223,7 +229,7 @@ class CreatedBefore(Filter):
     at_ms: int
 
     def compile(self, frame: Fields) -> Column:
-        return _sure(F.col("created_at_ms") < F.lit(self.at_ms))
+        return _sure(F.col("created_at_ms") < F.lit(self.at_ms), frame)
 
 
 @dataclass
@@ -264,7 +270,7 @@ class Not(Filter):
     filter: Filter
 
     def compile(self, frame: Fields) -> Column:
-        return ~self.filter.compile(frame)
+        return ~self.filter.compile(replace(frame, positive=False))
 
 
 _LEAVES = {"eq": Eq, "ne": Ne, "gt": Gt, "lt": Lt, "gte": Gte, "lte": Lte, "contains": Contains, "starts_with": StartsWith}

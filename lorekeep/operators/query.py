@@ -92,7 +92,7 @@ def scoped(records: DataFrame, q: Query) -> DataFrame:
 
 def matching(records: DataFrame, q: Query, fields: Fields | None = None) -> DataFrame:
     found = scoped(records, q)
-    return found.where(q.filter.compile(fields or Fields())) if q.filter is not None else found
+    return found.where(q.filter.where(fields or Fields())) if q.filter is not None else found
 
 
 def after_cursor(found: DataFrame, q: Query, fields: Fields) -> DataFrame:
