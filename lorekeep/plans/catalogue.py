@@ -14,12 +14,14 @@ from ..functions import scalars as X
 from ..operators import digest as D
 from ..operators import filters as P
 from ..operators import metadata as M
+from ..operators import projections as J
 from ..operators import query as Q
 from ..operators import recall as R
 from ..operators import store as S
 from ..operators import sync as Y
 from ..operators import vectors as V
 from ..operators.access import readable
+from ..sources import embedders as E
 from ..schema import FieldType, SchemaField, validate
 from ..session import ship
 from ..streaming import tail as T
@@ -634,3 +636,35 @@ def _(spark, sf):
     stream = spark.readStream.schema("record_id string, delta double, at_ms bigint, seq bigint").parquet(f"{to}/log")
     T.reinforcement_stream(stream, f"{to}/cp", lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{to}/out")).awaitTermination()
     return S.latest(spark.read.parquet(f"{to}/out"), ["record_id"], "n").select("record_id", "reinforce_count")
+
+
+# -- what callers see ----------------------------------------------------------------------------------
+
+
+@add("record_json", f"""WITH {EV} SELECT record_id, '{{"record_id":"' || record_id || '","schema":"' || schema_ || '","namespace":"events","created_by":"' || created_by || '","created_at_ms":' || created_at_ms || ',"previous_version":null,"data":{{"k":' || seq || '}}}}' AS json FROM ev""")
+def _(spark, sf):
+    e = A.events(spark, sf).withColumn("data", F.to_json(F.struct(F.col("seq").alias("k"))))
+    return e.select("record_id", J.record_json().alias("json"))
+
+
+@add("branch_summary", f"WITH {LOG} SELECT branch AS id, count(DISTINCT record_id) AS change_count FROM log GROUP BY 1")
+def _(spark, sf):
+    return J.branch_summary(A.branches(spark), A.branch_log(spark, sf)).select("id", "change_count")
+
+
+@add("sort_value", f"WITH {EV} SELECT record_id, coalesce(k::VARCHAR, 'null') AS v FROM ev")
+def _(spark, sf):
+    return A.events(spark, sf).select("record_id", J.sort_value("k").alias("v"))
+
+
+@add("embed_request_check", "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'text or texts' WHEN doc_id % 5 = 2 THEN 'unknown model' WHEN length(text) > 8000 THEN 'text too long' END AS error FROM documents")
+def _(spark, sf):
+    case = F.col("doc_id") % 5
+    texts = F.when(case == 1, F.array("text"))
+    return A.read(spark, sf, "documents").select("doc_id", E.request_error(F.col("text"), texts, F.when(case == 2, "other")).alias("error"))
+
+
+@add("ingest_text")
+def _(spark, sf):
+    rows = A.read(spark, sf, "documents").select(F.lit("docs").alias("namespace"), F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"), "text")
+    return V.index_rows(E.ingest_text(rows, E.MockEmbedder(32)), 32)

@@ -260,7 +260,7 @@ def test_files(spark, tmp_path):
     (memory / "MEMORY.md").write_text("x")
     rows = files.markdown_memories(spark, str(tmp_path), "ann").collect()
     data = json.loads(rows[0]["data"])
-    assert len(rows) == 1 and data["type"] == "user" and data["description"] == "d: e" and data["body"] == "body\nmore" and rows[0]["namespace"] == "claude.memory.My-Project"
+    assert len(rows) == 1 and data["type"] == "user" and data["description"] == "d: e" and data["body"] == "body\nmore" and rows[0]["namespace"] == "memory.My-Project"
     store = files.BlobStore(spark, str(tmp_path / "blobs"))
     store.put("n/deltas/d/1.delta", b"\0\xff1")
     assert store.get("n/deltas/d/1.delta") == b"\0\xff1" and store.get("n/x") is None and store.list("n/") == ["n/deltas/d/1.delta"]
@@ -304,3 +304,29 @@ def test_frontmatter_cases(spark):
     texts = ["no front", "---\na: 1\nb: 'x'\na: 2\n---\nbody\n", "---\na: 1\nno end", "---\n---\n", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.frontmatter(F.col("t")).alias("d")).collect()
     assert [(dict(r["d"]["fields"]), r["d"]["body"]) for r in rows] == [({}, "no front"), ({"a": "2", "b": "x"}, "body"), ({"a": "1"}, "---\na: 1\nno end"), ({}, ""), ({}, "")]
+
+
+def test_embedders(spark):
+    from pyspark.sql import functions as F
+
+    from lorekeep.sources import embedders as E
+
+    def fetch(url, headers, body):
+        texts = json.loads(body)
+        assert headers["authorization"] == "Bearer t"
+        if url.endswith("/embed"):
+            return 200, json.dumps({"embeddings": [[1.0, len(x)] for x in texts["texts"]]}).encode()
+        if url.endswith("/embeddings"):
+            return 200, json.dumps({"data": [{"index": i, "embedding": [float(i)]} for i in reversed(range(len(texts["input"])))]}).encode()
+        return (200, b"[[[0.5, 1]]]") if texts["inputs"] else (500, b"")
+
+    make = lambda k: E.build({"backend": k, "url": "http://x/", "token": "t", "model": "m"}, fetch)
+    assert make("gateway").embed_batch(["a"] * 150)[149] == [1.0, 1.0] and make("openai").embed_batch(["a", "b"]) == [[0.0], [1.0]] and make("feature_extraction").embed_batch(["a"]) == [[0.5, 1.0]]
+    for bad in (lambda: make("feature_extraction").embed_batch([""]), lambda: E.flattened({}), lambda: E.build({"backend": "x"})):
+        with pytest.raises((OSError, ValueError)):
+            bad()
+    rows = spark.createDataFrame([("n", "a", "x"), ("n", "b", None)], "namespace string, record_id string, text string")
+    got = {r["record_id"]: r["embedding"] for r in E.ingest_text(rows, E.build({"dim": 4})).collect()}
+    assert len(got["a"]) == 4 and got["b"] is None
+    errors = spark.createDataFrame([("a", None, None), (None, ["a", ""], None), (None, ["a"] * 101, None), (None, None, None), (None, [], None), ("a", None, "zz")], "text string, texts array<string>, model string").select(E.request_error(F.col("text"), F.col("texts"), F.col("model")).alias("e")).collect()
+    assert [r["e"] for r in errors] == [None, "empty text", "too many texts", "text or texts", "no texts", "unknown model"]
