@@ -657,7 +657,7 @@ def _(spark, sf):
     return A.events(spark, sf).select("record_id", J.sort_value("k").alias("v"))
 
 
-@add("embed_request_check", "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'text or texts' WHEN doc_id % 5 = 2 THEN 'unknown model' WHEN length(text) > 8000 THEN 'text too long' END AS error FROM documents")
+@add("embed_request_check", "SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'text or texts' WHEN length(text) > 8000 THEN 'text too long' WHEN doc_id % 5 = 2 THEN 'unknown model' END AS error FROM documents")
 def _(spark, sf):
     case = F.col("doc_id") % 5
     texts = F.when(case == 1, F.array("text"))
