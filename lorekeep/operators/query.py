@@ -167,6 +167,6 @@ def count(records: DataFrame, q: Query, fields: Fields | None = None) -> DataFra
 
 
 def with_total(records: DataFrame, q: Query, fields: Fields | None = None) -> DataFrame:
-    """The page's rows, each with ``total_count`` of the filtered set: the count is one aggregated row joined on."""
-    total = count(records, q, fields).select(F.col("n").alias("total_count"))
-    return select_page(records, q, fields).join(F.broadcast(total))
+    """The page's rows, each with ``total_count`` of the filtered set."""
+    total = count(records, q, fields).first()["n"]
+    return select_page(records, q, fields).withColumn("total_count", F.lit(total).cast("bigint"))
