@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
     return slim.mapInArrow(run, f"doc_id long, {kinds}lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The input's rows whose language is told with a score of at least ``least``; all columns stay.
 
     Null texts and texts without a letter go; without a model nothing is told
