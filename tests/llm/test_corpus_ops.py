@@ -322,6 +322,19 @@ def test_turned_image_matches():
     assert media.consensus(media.features(image), media.features(np.rot90(image))) >= 3 * media.INLIERS
 
 
+def small_edits(image, n):
+    """Copies with a little noise each."""
+    return [bytearray(media.pgm(image + np.random.default_rng(k).normal(0, 2, image.shape))) for k in range(n)]
+
+
+def test_all_pairs_of_a_group_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 4)
+    monkeypatch.setattr(media, "PAIRS_AT_ONCE", 40)
+    rows = list(enumerate(small_edits(media.gray(media.picture(np.random.default_rng(3).normal(size=64).tolist(), 0)), 15)))
+    got = media.image_copies(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert {(r["group_id"], r["n_links"]) for r in got} == {(0, 14)}
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
