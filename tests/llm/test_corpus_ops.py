@@ -335,6 +335,25 @@ def test_all_pairs_of_a_group_are_linked(spark, monkeypatch):
     assert {(r["group_id"], r["n_links"]) for r in got} == {(0, 14)}
 
 
+def test_rescaled_copies_meet(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(12):
+        image = media.gray(media.picture(rng.normal(size=64).tolist(), 0))
+        rows += [(2 * i, image), (2 * i + 1, media.resized(image, 0.8))]
+    found = {i: media.features(media.gray(media.pgm(a))) for i, a in rows}
+    want = {i for i in range(0, 24, 2) if min(media.consensus(found[i], found[i + 1]), media.consensus(found[i + 1], found[i])) >= media.INLIERS}
+    got = {r["media_id"]: r["group_id"] for r in media.image_copies(spark.createDataFrame([(i, bytearray(media.pgm(a))) for i, a in rows], "media_id long, media binary")).collect()}
+    assert len(want) >= 6 and want <= {i for i in range(0, 24, 2) if got[i + 1] == got[i]}
+
+
+def test_crop_of_a_large_image_matches():
+    rng = np.random.default_rng(6)
+    draw = lambda: media.gray(media.picture(rng.normal(size=64).tolist(), 0)) - 128
+    large = 128 + np.block([[draw() * (0.4 if (y, x) == (2, 1) else 1) for x in range(4)] for y in range(4)])
+    assert media.consensus(media.features(large), media.features(large[250:390, 120:260])) >= 2 * media.INLIERS
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
