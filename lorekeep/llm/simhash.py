@@ -17,7 +17,7 @@ A shard emits the links of a spanning forest, never all pairs of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -164,21 +164,26 @@ class PackedBkTree:
             q, node = q[near], node[near]
 
 
-def shard_links(values: np.ndarray, lo: int, hi: int, radius: int) -> list[tuple[int, int]]:
+def shard_links(values: np.ndarray, lo: int, hi: int, radius: int, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
     """Links (by index) of a spanning forest of the values' graph that the searches ``lo:hi`` find.
 
     The forests of all slices together connect what the whole graph connects.
+    With ``alike``, values within the radius are linked only if it agrees; it is
+    asked about each two that no links connect yet.
     """
     n = len(values)
     sets, links = DisjointSets(n), []
     if n <= 64:
         tree, at = BkTree(), []
-        held: dict[int, int] = {}
+        held: dict[int, list[int]] = {}
         for i, v in enumerate(int.from_bytes(row.tobytes(), "little") for row in values):  # each link is found when its later end comes
             if lo <= i < hi:
-                links += [(held[j], i) for j in tree.within(v, radius) if sets.union(held[j], i)]
+                for k in (k for j in tree.within(v, radius) for k in held[j]):
+                    if sets.find(k) != sets.find(i) and (alike is None or alike(k, i)):
+                        sets.union(k, i)
+                        links.append((k, i))
             at.append(tree.add(v))
-            held.setdefault(at[-1], i)
+            held.setdefault(at[-1], []).append(i)
         return links
     tree = PackedBkTree(values)
     for at in range(lo, hi, 256):
@@ -186,53 +191,69 @@ def shard_links(values: np.ndarray, lo: int, hi: int, radius: int) -> list[tuple
         for q, node in tree.within(values[at:stop], radius):
             later = node < q + at
             for i, j in zip((q[later] + at).tolist(), node[later].tolist()):
-                if sets.union(i, j):
+                if sets.find(i) != sets.find(j) and (alike is None or alike(j, i)):
+                    sets.union(i, j)
                     links.append((j, i))
     return links
 
 
-def link_shards(dealt: DataFrame, radius: int) -> DataFrame:
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted arrays) share at least ``similarity`` of their union."""
+    few, many = sorted((len(a), len(b)))
+    if few < similarity * many - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (few + many - both) - 1e-9
+
+
+def link_shards(dealt: DataFrame, radius: int, similarity: float | None = None, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``a, b``: links that connect all nodes of each shard whose fingerprints are within ``radius``.
 
     ``dealt``: ``shard`` (long), ``node`` (long) and ``fp`` (binary, whole
-    64-bit words), each node once in a shard.
+    64-bit words), each node once in a shard.  With ``similarity`` it also has
+    ``text``, and only texts that share so much of their shingles are linked.
     """
+    exact = similarity is not None
     sizes = saved(dealt.groupBy("shard").count().where("count > 1"), f"{work_folder(dealt.sparkSession)}/sizes")
     # a shard of more than SLICE fingerprints is sent to one task for each slice of its searches
-    crowded = dealt.join(sizes, "shard").select("node", "fp", "shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / SLICE).cast("int"))).alias("slice"))
+    crowded = dealt.join(sizes, "shard").select("node", "fp", *(["text"] if exact else []), "shard", F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / SLICE).cast("int"))).alias("slice"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(keys: np.ndarray, prints: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def flush(keys: np.ndarray, prints: list[bytes], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.any(keys[1:, :2] != keys[:-1, :2], axis=1)) + 1
             values = np.frombuffer(b"".join(prints), "<u8").reshape(len(prints), -1)
             links = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
                 if b - a > 1:
                     k = int(keys[a, 1])
-                    links += [(a + i, a + j) for i, j in shard_links(values[a:b], k * SLICE, min(b - a, (k + 1) * SLICE), radius)]
+                    alike = (lambda i, j, a=a: similar(texts[a + i], texts[a + j], similarity)) if exact else None
+                    links += [(a + i, a + j) for i, j in shard_links(values[a:b], k * SLICE, min(b - a, (k + 1) * SLICE), radius, alike)]
             if links:
                 nodes = keys[:, 2][np.array(links)]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[:, 0]), pa.array(nodes[:, 1])], ["a", "b"])
 
         held_keys: list[np.ndarray] = []
         held: list[bytes] = []
-        for batch in batches:
+        sets: list[np.ndarray] = []
+        for batch in chunks(batches) if exact else batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "slice", "node")], axis=1)
             prints = batch.column("fp").to_pylist()
+            own = [np.unique(shingle_hashes(t, shingle)) for t in raw_texts(batch)] if exact else []
             changes = np.flatnonzero(np.any(keys[1:, :2] != keys[:-1, :2], axis=1)) + 1
             if held and tuple(held_keys[-1][-1, :2]) != tuple(keys[0, :2]):
-                yield from flush(np.concatenate(held_keys), held)
-                held_keys, held = [], []
+                yield from flush(np.concatenate(held_keys), held, sets)
+                held_keys, held, sets = [], [], []
             last = int(changes[-1]) if len(changes) else 0
             if last:
-                yield from flush(np.concatenate([*held_keys, keys[:last]]), held + prints[:last])
-                held_keys, held = [], []
+                yield from flush(np.concatenate([*held_keys, keys[:last]]), held + prints[:last], sets + own[:last])
+                held_keys, held, sets = [], [], []
             held_keys.append(keys[last:])
             held += prints[last:]
+            sets += own[last:]
         if held:
-            yield from flush(np.concatenate(held_keys), held)
+            yield from flush(np.concatenate(held_keys), held, sets)
 
     ordered = crowded.repartition("shard", "slice").sortWithinPartitions("shard", "slice", "node")
     return ordered.mapInArrow(run, "a long, b long")
@@ -273,43 +294,54 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of 64 bits in the wide fingerprint, and shingles that name a document's shards.
 WIDE = 4
 SHARDS_EACH = 6
+CANDIDATE_SLACK = 0.05
 
 
 def wide_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc_id, fp`` (binary, WIDE words) and ``keys``: for each of some orders of all shingles, the least of the document."""
+    """``doc_id, content`` (hash of the text), ``node`` (hash of its set of shingles), ``fp`` (binary, WIDE words, of that set) and ``keys``: for each of some orders of all shingles, the least of the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            prints, keys = [], []
+            prints, keys, nodes = [], [], []
             for text in raw_texts(batch):
-                h = shingle_hashes(text, shingle)
+                h = np.unique(shingle_hashes(text, shingle))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 prints.append(b"".join(simhash(h if i == 0 else mix(h + np.uint64(i))).to_bytes(8, "little") for i in range(WIDE)))
                 keys.append([int(mix(h ^ np.uint64(0x5851F42D4C957F2D * (i + 1) % (1 << 64))).min().view(np.int64)) if len(h) else 0 for i in range(SHARDS_EACH)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(_signed(nodes)), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "content", "node", "fp", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, content long, node long, fp binary, keys array<long>")
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The input's rows without all but one (the smallest doc_id) of each group of near-duplicates.
 
-    Documents are near-duplicates if at least ``similarity`` of the bits of
-    their fingerprints agree; groups are the components of these links.  At
-    so wide a radius equal bits narrow nothing down, so fingerprints have
-    WIDE words, and shards are named by the shingles that come first in
-    SHARDS_EACH orders: documents that share a part J of their shingles miss
-    each other in all shards with probability (1 - J) ** SHARDS_EACH, below
-    0.0001 at 0.8.  Inside a shard a BK-tree is searched.
+    Documents are near-duplicates if their sets of ``shingle``-word shingles
+    have a Jaccard similarity of at least ``similarity``; groups are the
+    components of these links.  Candidates come first: fingerprints of WIDE
+    words that agree in ``similarity`` less CANDIDATE_SLACK of their bits (four
+    standard deviations beyond what texts of 0.8 have), in shards named by the
+    shingles that come first in SHARDS_EACH orders; documents that share a
+    part J of their shingles miss each other in all shards with probability
+    (1 - J) ** SHARDS_EACH, below 0.0001 at 0.8.  Then each component of
+    candidates is searched once more, with its texts, and a link stays only
+    if the shingles themselves agree.
 
     Null and empty texts are near-duplicates of each other.  Rows with a null
     id are kept, as nothing names them; rows that repeat an id are kept or
     dropped alike.  All columns stay.
     """
     folder = work_folder(docs.sparkSession)
-    prints = saved(wide_prints(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("fp", "keys")), f"{folder}/prints")
-    distinct = saved(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), f"{folder}/distinct")
+    prints = saved(wide_prints(docs, id_col, text_col, shingle), f"{folder}/prints")
+    distinct = saved(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("content").alias("content"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), f"{folder}/distinct")
     dealt = distinct.select("node", "fp", F.posexplode("keys").alias("i", "key")).select("node", "fp", F.xxhash64("i", "key").alias("shard"))
-    groups = connected_components(link_shards(dealt, int(64 * WIDE * (1 - similarity) + 1e-9)))
+    radius = int(64 * WIDE * (1 - similarity + CANDIDATE_SLACK) + 1e-9)
+    loose = connected_components(link_shards(dealt, radius))
+    searched = distinct.join(loose, "node").select("content", "node", "fp", F.col("component").alias("shard"))
+    texts = docs.groupBy(F.xxhash64(text_col).alias("content")).agg(F.first(text_col).alias("text"))
+    searched = saved(texts.join(searched, "content").select("shard", "node", "fp", "text"), f"{folder}/searched")
+    groups = connected_components(link_shards(searched, radius, similarity, shingle))
     named = saved(distinct.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group")), f"{folder}/named")
     least = named.groupBy("group").agg(F.min("least").alias("kept"))
     found = prints.select("doc_id", "node").join(named.select("node", "group"), "node").join(least, "group")

@@ -241,6 +241,22 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates_removed(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_are_verified(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    rows, want = [], set()
+    for g in range(40):  # a text and one that shares a start with it: shingle similarity 0.6 to 0.9
+        words = [word() for _ in range(300)]
+        part = rng.randrange(225, 285)
+        other = words[:part] + [word() for _ in range(300 - part)]
+        grams = [{tuple(w[i : i + 5]) for i in range(296)} for w in (words, other)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g} if jaccard(*grams) >= 0.8 else {2 * g, 2 * g + 1}
+    assert 50 < len(want) < 75
+    assert {r["doc_id"] for r in simhash.near_duplicates_removed(frame(spark, rows)).collect()} == want
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(200)] + [(500, 500), (None, 3), (600, 601), (601, 600)] + [(1000, 1000 + rng.randrange(1, 400)) for _ in range(300)]
