@@ -153,20 +153,23 @@ def plain_glyphs(text: Mapped) -> Mapped:
 
 
 _NAME = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_NAME}|[0-9]+)(?:[\x20-]{{1,2}}(?:{_NAME}|[0-9]+))++(?![A-Za-z0-9])", re.IGNORECASE)
-_SPELLED_TRIGGER = re.compile(rf"(?<![A-Za-z])(?:{_NAME})[\x20-]{{1,2}}(?:{_NAME}|[0-9])", re.IGNORECASE)
+# Words end where letters do, so a run stops before "onetime" and stands without it.
+_PART = rf"(?:(?:{_NAME})(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))"
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_PART}(?:[\x20()-]{{1,3}}{_PART})++", re.IGNORECASE)
+_SPELLED_TRIGGER = re.compile(rf"(?<![A-Za-z])(?:{_NAME})[\x20()-]{{1,3}}(?:{_NAME}|[0-9])|[0-9][\x20()-]{{1,3}}(?:{_NAME})(?![A-Za-z0-9])", re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[\x20]+(?=\+?[0-9])", re.IGNORECASE)
 
 
 def spelled_digits(text: Mapped) -> Mapped:
-    """Runs of three or more spelled digits, among which figures may stand, become figures; "plus" before one becomes +."""
+    """Spelled digits beside other digits, spelled or not, become figures; "plus" before one becomes +.
+
+    Whether the run is an identifier is left to the patterns.
+    """
     if not _SPELLED_TRIGGER.search(text.text):
         return text
     edits = []
     for run in _SPELLED.finditer(text.text):
         parts = list(re.finditer(r"[A-Za-z]+|[0-9]+", run[0]))
-        if sum(p[0].isalpha() for p in parts) < 3:
-            continue
         for p, after in zip(parts, [*parts[1:], None]):
             a, b = run.start() + p.start(), run.start() + p.end()
             spelled = p[0].isalpha()
@@ -184,7 +187,7 @@ _DOT = r"(?:\x20*[\[({<]\x20*(?:dot|DOT|Dot|\.)\x20*[\])}>]\x20*|\x20+(?:dot|DOT
 _LABEL = r"[A-Za-z0-9-]++"
 # Chains are taken whole (possessive), whether an address follows or not, so a long one is read once.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+(?:(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL})++)?+")
-_DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\x20*(?:at|@|dot|\.)\x20*[\])}>]|\x20dot\x20")
+_DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\x20*(?:at|@|dot|\.)\x20*[\])}>]|\x20dot\x20|@\x20")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+)(?=[0-9])")
 
 
@@ -192,7 +195,8 @@ def at_and_dot(text: Mapped) -> Mapped:
     """"name [at] host (dot) org" and "name at host dot org" to an address; "10 dot 0 dot 0 dot 1" to figures.
 
     A bare word "at" counts only where a disguised dot follows in the same
-    address, so "at example.com" in prose stays.
+    address, so "at example.com" in prose stays.  A spaced "@" counts if the
+    last label has a letter, so "2 @ 3.50" stays; so does "hi @some.name".
     """
     if not _DISGUISE_TRIGGER.search(text.text):
         return text
@@ -207,7 +211,7 @@ def at_and_dot(text: Mapped) -> Mapped:
             continue  # plain already
         if bare_at and not re.search(r"(?i)\x20dot\x20|[\[({<]", tail):
             continue
-        if m["at"].strip() == "@" and m["at"] != "@" and not re.search(r"(?i)dot|[\[({<]", m[0]):
+        if m["at"].strip() == "@" and m["at"] != "@" and not re.search(r"(?i)dot|[\[({<]", m[0]) and (m["at"][-1] == "@" or not re.search(r"[A-Za-z][A-Za-z0-9-]*\Z", tail)):
             continue
         edits.append((at, m.end("at"), "@"))
         for part, shift in ((text.text[m.start() : at], m.start()), (tail, m.end("at"))):

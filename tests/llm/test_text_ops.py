@@ -107,6 +107,23 @@ def test_disguises_map_back(text, kind, span):
     assert span in [text[a:b] for a, b in found[kind]]
 
 
+FEW = [
+    ("card 4111 1111 1111 one one 11 ok", "card", "4111 1111 1111 one one 11"), ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"), ("4111 1111 1111 one one 11 onetime", "card", "4111 1111 1111 one one 11"),
+    ("call +1 five five 5-0100 now", "phone", "+1 five five 5-0100"), ("+1 (five five five) 555-0100", "phone", "+1 (five five five) 555-0100"), ("mail john @ example.com.", "email", "john @ example.com"), ("john@ example.com", "email", "john@ example.com"),
+]
+
+
+@pytest.mark.parametrize("text, kind, span", FEW)
+def test_slight_disguises(text, kind, span):
+    assert span in [text[a:b] for a, b in pii.all_spans(text, pii.plain_spans(text))[kind]]
+    assert f"<{kind}>" in pii.redact(text)
+
+
+@pytest.mark.parametrize("text", ["2 @ 3.50 each", "hi @some.name", "one two 3 and 4 five", "in 2024 one of 10 - two at most"])
+def test_prose_with_digits_stays(text):
+    assert pii.redact(text) == text
+
+
 @pytest.mark.parametrize("text", ["meet at example.com at noon", "seven of nine one two", "привет мир", "a dot in the text", "look at me dot", "one two three go", "the end.", "naïve café"])
 def test_clean_text_stays(text):
     assert not any(pii.all_spans(text, pii.plain_spans(text)).values()) and pii.redact(text) == text
