@@ -27,13 +27,13 @@ DIM = 6
 #: Documented bound of the training sample: labelled rows of each language, and windows of each row.
 SAMPLE_ROWS = 1500
 SAMPLE_WINDOWS = 3
-#: Languages learned, the most frequent first.
-MOST_LANGUAGES = 400
+#: Bound of the whole sample: with many languages each gives fewer rows, but no fewer than LEAST_ROWS.
+SAMPLE_TOTAL = 60_000
+LEAST_ROWS = 20
 #: Least number of training steps.
 STEPS = 800
 #: Windows that go through the filters at once.
 STEP = 64
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -124,24 +124,30 @@ def windows_of(text: bytes) -> np.ndarray:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(_ASCII_LETTER.search(text) or _LETTER.search(text.decode("utf-8", "replace")))
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS) -> ByteCnn | None:
     """Train on at most about ``rows`` rows of each label; None if there is nothing to learn from.
 
-    Rows are picked by a hash of id and text against each label's rate, so
-    reruns pick the same and no label is crowded out.  Rows with a null label
-    or no letter teach nothing.
+    Every label is learned.  Rows are picked by a hash of id and text against
+    each label's rate, so reruns pick the same and no label is crowded out;
+    repeated rows teach once.  Rows with a null label or no letter teach
+    nothing.  So many labels that LEAST_ROWS of each exceed SAMPLE_TOTAL are
+    an error: such a column does not name languages.
     """
     known = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    sizes = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    most = SAMPLE_TOTAL // LEAST_ROWS
+    sizes = known.groupBy("label").count().limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} labels in {label_col}")
     if not sizes:
         return None
+    rows = min(rows, max(LEAST_ROWS, SAMPLE_TOTAL // len(sizes)))
     languages = sorted(r["label"] for r in sizes)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(99)), F.lit(1_000_000))
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["label"]), F.lit(int(1_000_000 * rows / r["count"]) + 1))])
-    picked = known.where(draw < rate[F.col("label")])
+    picked = known.where(draw < rate[F.col("label")]).dropDuplicates(["doc_id", "text", "label"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -156,8 +162,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     parts.append(w[i].astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(parts, pa.binary())], ["label", "window"])
 
-    cap = 2 * rows * SAMPLE_WINDOWS * len(languages)  # never reached by hashes that are even
-    sample = picked.mapInArrow(pick, "label string, window binary").limit(cap).toPandas()
+    sample = picked.mapInArrow(pick, "label string, window binary").toPandas()
     if not len(sample):
         return None
     sample = sample.sort_values(["label", "window"], kind="stable")
@@ -197,8 +202,10 @@ def predict(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text
 
     A text's score for a language is its windows' mean log-probability,
     weighted by their filled length, renormalised.  Null texts and texts
-    without a letter are ``und`` with score 1; without a model all are ``und``
-    with score 0.
+    without a letter (``str.isalpha``) are ``und`` with score 1; without a
+    model all are ``und`` with score 0.  Ties go to the language that is first
+    by code point.  Repeated rows get the same result.  Long texts are read
+    in whole, some windows at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,6 +209,39 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text,letter", [("½", False), ("² 3", False), ("①", False), ("Ⅷ", False), ("٣", False), ("_", False), ("ª", True), ("12 é", True), ("語", True), ("\u0301", False)])
+def test_what_a_letter_is(text, letter):
+    assert langid.has_letter(text.encode()) is letter is any(map(str.isalpha, text))
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 60)
+    monkeypatch.setattr(langid, "STEPS", 10)
+    rows = [(i, f"words of l{i % 3}", f"l{i % 3}") for i in range(300)] + [(1000, "one of its kind", "rare")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn(docs)
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 80)
+    assert langid.learn(docs).languages == ["l0", "l1", "l2", "rare"]
+
+
+def test_language_of_edges(spark):
+    docs = spark.createDataFrame([(1, "½ ① Ⅷ"), (2, "die und das " * 60_000), (2, "die und das " * 60_000), (3, "ab"), (None, None)], "doc_id long, text string")
+    model = langid.ByteCnn.fresh(["a", "b"])
+    model.out[:] = 0  # a tie
+    got = sorted(map(tuple, langid.predict(docs, model).collect()), key=str)
+    assert got == [(1, "und", 1.0), (2, "a", 0.5), (2, "a", 0.5), (3, "a", 0.5), (None, "und", 1.0)]
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.keep_identified(docs, model).count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_language_id_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out()))
+    held = [r for r in langid.predict(docs.where(langid.held_out()), model, keep=("lang",)).collect() if r["lang"] is not None and r["lang_pred"] != "und"]
+    assert len(held) > 40 and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.95
+
+
 # -- mixing ------------------------------------------------------------------------------
 
 
