@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,19 +30,18 @@ CHUNK_BYTES = 8 << 20
 CACHE_ENTRIES = 400_000
 
 _made: list[tuple[SparkSession, str]] = []
+_tops: list[str] = []
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session.  Only where it is unset (tests, a
-    laptop) is a temporary folder of this machine used.  Folders are deleted
-    when the driver ends.
+    The setting is read from the session.  Only where it is unset and the
+    master is this very process (tests, a laptop) is a temporary folder of this
+    machine used; on a cluster that is an error.  Folders are deleted when the
+    driver ends.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", top)
+    top = spark.conf.get("spark.checkpoint.dir", None) or _local_top(spark)
     path = f"{top.rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_remove_all)
@@ -48,7 +49,17 @@ def work_folder(spark: SparkSession) -> str:
     return path
 
 
+def _local_top(spark: SparkSession) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _tops:
+        _tops.append(tempfile.mkdtemp(prefix="lorekeep-"))
+    return _tops[0]
+
+
 def _remove_all() -> None:
+    for top in _tops:
+        shutil.rmtree(top, ignore_errors=True)
     for spark, path in _made:
         try:
             jvm = spark.sparkContext._jvm
@@ -78,6 +89,12 @@ def saved(df: DataFrame, path: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, rid, text``: ``rid`` tells rows apart that share a doc_id.
 

@@ -344,23 +344,86 @@ def small_edits(image, n):
 
 
 def test_all_pairs_of_a_group_are_linked(spark, monkeypatch):
-    monkeypatch.setattr(media, "BLOCK", 4)
     monkeypatch.setattr(media, "PAIRS_AT_ONCE", 40)
     rows = list(enumerate(small_edits(media.gray(media.picture(np.random.default_rng(3).normal(size=64).tolist(), 0)), 15)))
     got = media.image_copies(spark.createDataFrame(rows, "media_id long, media binary")).collect()
     assert {(r["group_id"], r["n_links"]) for r in got} == {(0, 14)}
 
 
-def test_rescaled_copies_meet(spark):
+def drawn(rng):
+    return media.gray(media.picture(rng.normal(size=64).tolist(), 0))
+
+
+def with_logo(image, logo, y, x):
+    a = image.copy()
+    a[y : y + 36, x : x + 36] = logo
+    return a
+
+
+EDITS = {
+    "noise": lambda a, r: a + r.normal(0, 8, a.shape),
+    "crop": lambda a, r: a[20:110, 30:120],
+    "half": lambda a, r: a[10:101, 5:96],
+    "overlay": lambda a, r: np.where((np.arange(128)[:, None] // 40 == 1) & (np.arange(128) // 64 == 0), 200.0, a),
+    "dimmed": lambda a, r: 0.6 * a + 10,
+    "smaller": lambda a, r: media.resized(a, 0.7),
+    "larger": lambda a, r: media.resized(a, 1.4),
+    "turned 5": lambda a, r: media.turned(a, 5),
+    "turned 15": lambda a, r: media.turned(a, 15),
+    "turned 30": lambda a, r: media.turned(a, 30),
+    "quantised": lambda a, r: np.rint(a / 16) * 16,
+}
+
+
+def test_recall_of_edited_copies(spark):
+    """Each edit of 30 pictures is found at least 9 times in 10, and unlike pictures stay apart, with a common logo too."""
     rng = np.random.default_rng(4)
-    rows = []
-    for i in range(12):
-        image = media.gray(media.picture(rng.normal(size=64).tolist(), 0))
-        rows += [(2 * i, image), (2 * i + 1, media.resized(image, 0.8))]
-    found = {i: media.features(media.gray(media.pgm(a))) for i, a in rows}
-    want = {i for i in range(0, 24, 2) if min(media.consensus(found[i], found[i + 1]), media.consensus(found[i + 1], found[i])) >= media.INLIERS}
+    rows, logo = [], 1.5 * (drawn(rng)[:36, :36] - 128) + 128
+    names = list(EDITS)
+    for i in range(30):
+        image = drawn(rng)
+        rows += [(100 * i + k, image if k == 0 else EDITS[names[k - 1]](image, rng)) for k in range(len(names) + 1)]
+    rows += [(10_000 + i, with_logo(drawn(rng), logo, 40, 70) if i % 2 else with_logo(drawn(rng), logo, *rng.integers(0, 92, 2))) for i in range(200)]
     got = {r["media_id"]: r["group_id"] for r in media.image_copies(spark.createDataFrame([(i, bytearray(media.pgm(a))) for i, a in rows], "media_id long, media binary")).collect()}
-    assert len(want) >= 6 and want <= {i for i in range(0, 24, 2) if got[i + 1] == got[i]}
+    recall = {name: np.mean([got[100 * i + k] == got[100 * i] for i in range(30)]) for k, name in enumerate(names, 1)}
+    assert min(recall.values()) >= 0.9, recall
+    assert all(g // 100 == i // 100 for i, g in got.items() if i < 10_000)
+    assert len({got[i] for i in got if i >= 10_000}) == 200
+
+
+def test_operator_links_what_brute_force_links(spark):
+    rng = np.random.default_rng(5)
+    images = []
+    for i in range(50):
+        image = drawn(rng)
+        images += [image, image[15:, 10:], media.turned(image, float(rng.integers(3, 20))), media.resized(image, 0.85)]
+    images = [media.gray(media.pgm(a)) for a in images]
+    found = [media.features(a) for a in images]
+    pairs = [(i, j) for i in range(200) for j in range(i) if media.consensus(found[j], found[i])]
+    got = {r["media_id"]: r["group_id"] for r in media.image_copies(spark.createDataFrame([(i, bytearray(media.pgm(a))) for i, a in enumerate(images)], "media_id long, media binary")).collect()}
+    assert all(i // 4 == j // 4 for i, j in pairs) and len(pairs) > 200
+    assert np.mean([got[i] == got[j] for i, j in pairs]) >= 0.95 and all(g // 4 == i // 4 for i, g in got.items())
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_crowded_buckets(spark, monkeypatch, crowd):
+    """Copies of one picture, and of another with the same half, in few or many rows of a bucket."""
+    monkeypatch.setattr(media, "CROWD", crowd)
+    monkeypatch.setattr(media, "BLOCK", 8)
+    rng = np.random.default_rng(7)
+    one, two = drawn(rng), drawn(rng)
+    two[:, :40] = one[:, :40]
+    rows = list(enumerate([*small_edits(one, 20), *small_edits(two, 20)]))
+    got = media.image_copies(spark.createDataFrame(rows, "media_id long, media binary")).collect()
+    assert {r["media_id"]: r["group_id"] for r in got} == {i: i // 20 * 20 for i in range(40)}
+
+
+def test_large_and_empty_images(spark):
+    rng = np.random.default_rng(8)
+    large = np.block([[drawn(rng) for _ in range(6)] for _ in range(6)])
+    rows = [(1, media.pgm(large)), (2, media.pgm(large[:-90, 50:])), (3, media.pgm(np.zeros((1, 1)))), (4, b"P5 0 0 255\n"), (5, b"")]
+    got = {r["media_id"]: r["group_id"] for r in media.image_copies(spark.createDataFrame([(i, bytearray(d)) for i, d in rows], "media_id long, media binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def test_crop_of_a_large_image_matches():
