@@ -1,34 +1,31 @@
 """Substring dedup with merged Burrows-Wheeler transforms.
 
-Where a long byte string recurs is narrowed down first (``recurrence``): runs
-of windows whose surroundings are alike everywhere are settled at once.  The
-others, in which strings begin to differ somewhere, are dealt to shards as
-short texts.  A shard builds the transforms of its parts and merges them by
-iterative interleave refinement: an interleave vector says which part each row
-of the merged transform comes from; one pass, a stable sort of the rows by the
-symbol before them, makes it right for one more symbol.  Rows that a pass
-separates get their common prefix from the number of passes; after as many
-passes as a string is long, the rows not separated are the repeated intervals.
-Suffixes of different parts are never sorted together.
+Where a long byte string may recur is narrowed down first (``recurrence``):
+runs of windows are dealt to shards by their anchor, as short texts.  If all
+texts of an anchor are the same bytes, every one but the earliest is a repeat.
+Where they differ, strings begin to differ somewhere inside.  A shard builds
+the transforms of its parts and merges them by iterative interleave
+refinement: an interleave vector says which part each row of the merged
+transform comes from; one pass, a stable sort of the rows by the symbol before
+them, makes it right for one more symbol.  Rows that a pass separates get
+their common prefix from the number of passes; after as many passes as a
+string is long, the rows not separated are the repeated intervals.  Suffixes
+of different parts are never sorted together.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, raw_texts, with_key, work_folder
-from .recurrence import Units, joined_ranges, range_arrays, recurring, with_ranges
+from .common import work_folder
+from .recurrence import Chunk, Units, applied, joined_ranges, recurring
 
 PART = 128 << 10
-#: Mixed runs for each shard; one is some 130 bytes.
-RUNS = 4000
 #: Bytes in a symbol.  A text is taken as one string of symbols for each phase, so every byte begins a suffix.
 WIDE = 5
 
@@ -117,9 +114,10 @@ def merge(parts: list[tuple[np.ndarray, int]], most: int) -> tuple[np.ndarray, n
     return source, prefix
 
 
-def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, offset and interval of each suffix whose first ``length`` bytes recur among the texts."""
+def repeated_windows(texts: list[bytes], length: int, many: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, offset and interval of each suffix whose first ``length`` bytes recur among the texts, of which there are ``many`` each."""
     wide = next(w for w in (WIDE, 4, 3, 2, 1) if length % w == 0)
+    weight = np.ones(len(texts), np.int64) if many is None else many
     symbols, text, phase, many = symbols_of(texts, wide)
     _, codes = np.unique(symbols, return_inverse=True)  # 0 stays 0
     ends = np.cumsum(many + 1)
@@ -141,33 +139,42 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     string[rows], off[rows] = np.concatenate(where), np.concatenate(offset)
     interval = np.cumsum(prefix < length // wide)
     inside = many[string] - off >= length // wide
-    take = inside & (np.bincount(interval, weights=inside) > 1)[interval]
+    take = inside & (np.bincount(interval, weights=inside * weight[text[string]]) > 1)[interval]
     string, off = string[take], off[take]
     return text[string], phase[string] + off * wide, interval[take]
 
 
 def later_in_pieces(length: int):
-    """For ``recurring``: settle the pieces of one shard by merged transforms."""
-
-    def later(table: pa.Table) -> pa.Table:
-        ids, rids, a = (table.column(c).to_numpy() for c in ("doc_id", "rid", "a"))
-        text, off, interval = repeated_windows(table.column("payload").to_pylist(), length)
-        start = a[text].astype(np.int64) + off
-        order = np.lexsort((start, ids[text], interval))
-        text, start, interval = text[order], start[order], interval[order]
-        heads = np.ones(len(interval), dtype=bool)
-        heads[1:] = interval[1:] != interval[:-1]
-        first = np.flatnonzero(heads)[np.cumsum(heads) - 1] if len(heads) else np.empty(0, np.int64)
-        gone = (ids[text] != ids[text[first]]) | (start != start[first])
-        # pieces of one document are kept apart by its row key
-        _, doc = np.unique(rids[text[gone]], return_inverse=True) if gone.any() else (None, np.empty(0, np.int64))
-        sample = np.zeros(int(doc.max()) + 1 if len(doc) else 0, np.int64)
-        sample[doc] = text[gone]
-        t, x, y = joined_ranges(doc, start[gone], start[gone])
-        t = sample[t]
-        return pa.table([pa.array(ids[t]), pa.array(rids[t]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], names=["doc_id", "rid", "a", "b"])
-
-    return later
+    """For ``recurring``: the windows that also start earlier, by equal bytes and by merged transforms."""
+
+    def settle(pieces: list[bytes], group: np.ndarray, of: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alone = (np.bincount(group) == 1)[group]
+        # one text: whole runs, told apart by the piece; unlike texts: windows, told apart by their interval
+        whole = np.flatnonzero(alone[of])
+        which, off, kind = [whole], [np.zeros(len(whole), np.int64)], [of[whole]]
+        if not alone.all():
+            unlike = np.flatnonzero(~alone)
+            many = np.bincount(of, minlength=len(pieces))
+            text, at, interval = repeated_windows([pieces[i] for i in unlike.tolist()], length, many[unlike])
+            order = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[order], np.arange(len(pieces) + 1))[unlike[text]]
+            n = many[unlike[text]]  # a window stands wherever its piece does
+            which.append(order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            off.append(np.repeat(at, n))
+            kind.append(len(pieces) + np.repeat(interval, n))
+        which, off, kind = np.concatenate(which), np.concatenate(off), np.concatenate(kind)
+        order = np.lexsort((starts[which] + off, ids[which], kind))
+        which, off, kind = which[order], off[order], kind[order]
+        heads = np.ones(len(kind), dtype=bool)
+        heads[1:] = kind[1:] != kind[:-1]
+        lead = np.flatnonzero(heads)[np.cumsum(heads) - 1] if len(heads) else np.empty(0, np.int64)
+        place = starts[which] + off
+        gone = (ids[which] != ids[which[lead]]) | (place != place[lead])
+        which, off, single = which[gone], off[gone], kind[gone] < len(pieces)
+        sizes = np.array(list(map(len, pieces)))
+        return joined_ranges(which, off, np.where(single, sizes[of[which]] - length, off))
+
+    return settle
 
 
 def remove_later_substrings(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -176,32 +183,30 @@ def remove_later_substrings(docs: DataFrame, length: int = 100, id_col: str = "d
     ``doc_id, n_bytes, n_removed, n_spans`` and the kept bytes, as ``kept``
     (binary: a cut may fall inside a character) or as their SHA-256.  One row
     per input row; null and empty texts lose nothing; a null id counts as
-    smaller than any other.  Rows that repeat an id and a text are not earlier
-    than each other.  Strings are judged on the input.
+    smaller than any other.  Rows that repeat an id are not earlier than each
+    other at the same place.  Strings are judged on the input.  Long texts are
+    read in whole, in pieces that overlap by a string.  Other columns are left
+    out.
     """
     folder = work_folder(docs.sparkSession)
-    marked = with_key(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    units = Units(words=False, length=length, gram=min(32, max(1, length // 3)), later=True, chunk=1 << 20)
-    found = recurring(marked, units, folder, later_in_pieces(length), RUNS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            sizes, removed, spans, out = [], [], [], []
-            for text, (a, b) in zip(raw_texts(batch), range_arrays(batch)):
-                text = text or b""
-                kept, n, gone = text, 0, 0
-                if len(a):
-                    # bytes of neighbouring strings join where they touch
-                    _, x, y = joined_ranges(np.zeros(len(a), np.int64), a.astype(np.int64), b.astype(np.int64) + length - 1)
-                    n, gone = len(x), int((y - x + 1).sum())
-                    edges = [0, *np.stack([x, y + 1], axis=1).reshape(-1).tolist(), len(text)]
-                    kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2]))
-                sizes.append(len(text))
-                removed.append(gone)
-                spans.append(n)
-                out.append(hashlib.sha256(kept).hexdigest() if digest else kept)
-            ids = pc.if_else(pc.equal(batch.column("doc_id"), -(1 << 63)), pa.scalar(None, pa.int64()), batch.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(v, pa.int64()) for v in (sizes, removed, spans)], pa.array(out, pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    corpus, found = recurring(slim, Units(words=False, length=length, gram=min(32, max(1, length // 3)), later=True), folder, later_in_pieces(length))
+
+    def judge(chunk: Chunk, ranges: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        sizes, removed, spans, out = [], [], [], []
+        for text, (a, b) in zip(chunk.texts, ranges):
+            kept, n, gone = text, 0, 0
+            if len(a):
+                # bytes of neighbouring strings join where they touch
+                _, x, y = joined_ranges(np.zeros(len(a), np.int64), a, b + length - 1)
+                n, gone = len(x), int((y - x + 1).sum())
+                edges = [0, *np.stack([x, y + 1], axis=1).reshape(-1).tolist(), len(text)]
+                kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2]))
+            sizes.append(len(text))
+            removed.append(gone)
+            spans.append(n)
+            out.append(hashlib.sha256(kept).hexdigest() if digest else kept)
+        return pa.table([chunk.id_column(), *[pa.array(v, pa.int64()) for v in (sizes, removed, spans)], pa.array(out, pa.string() if digest else pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", name])
 
     name = "kept_sha256" if digest else "kept"
-    return with_ranges(marked, found, "left").mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")
+    return applied(corpus, found, judge, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")

@@ -3,25 +3,22 @@
 A window of ``length`` units (words or bytes) picks its leftmost least-hashed
 gram of ``gram`` units as anchor.  The pick depends on the window's content
 alone, so equal windows have equal anchors at equal offsets.  Consecutive
-windows that share an anchor form a run.  Only anchors are dealt out, about
-two for every ``length - gram`` units:
-
-* an anchor seen once settles its run: nothing in it recurs;
-* an anchor whose runs are all alike settles them all at once;
-* an anchor with unlike runs leaves one run of each kind *mixed*; mixed runs
-  are compared window by window.
-
-Work is done in chunks of text by numpy; a row that is shuffled carries a
-packed slice of a chunk, not one anchor.  A chunk settles what repeats inside
-itself and sends one entry for each kind of run.  An anchor with very many
-kinds of runs in one chunk (a passage that a large part of the corpus shares,
-in ever other surroundings) sends a mark in their stead, and its runs are
-compared by window, whose hashes spread over all tasks.  So no task gets a
-share of the input that one key decides.
-
-Two questions are answered: which windows also start anywhere else
-(``everywhere``), and which also start earlier (``later``), by doc_id, then
-position.
+windows that share an anchor form a run; there are about two for every
+``length - gram`` units.
+
+1. The corpus is packed into chunks of text, and each chunk names the hashes
+   of its anchors, one row each.  They are counted; an anchor seen once
+   settles its run: nothing in it recurs.  Hashes only ever rule out here.
+2. Chunks deal out the text of the runs whose anchors recur, each distinct
+   run once, to where their anchor is settled.
+3. There the operator's own method compares the texts themselves.
+
+An anchor whose runs are of very many kinds (a passage that a large part of
+the corpus shares, in ever other surroundings) is dealt by window instead:
+window hashes are counted as anchors were, and only windows that recur are
+dealt, each to its own place.  So no task gets a share of the input that one
+key decides, and every row is dealt by its own key: nothing depends on how
+many tasks there are.
 """
 
 from __future__ import annotations
@@ -31,20 +28,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lean_memory, mix, packed, prefix_hashes, raw_texts, same_doc, saved, sliding_hashes, sliding_leftmost_min, span_hashes, unpacked, word_hashes
+from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes
 
-#: Distinct runs of one anchor in one chunk beyond which they are compared by window at once.
-CROWD = 64
-#: Text bytes for each shard of anchors.
-SHARD_BYTES = 8 << 20
-_MANY, _CROWDED = 1, 2
-_ENTRY = np.dtype([("h", "<u8"), ("r", "<u8"), ("d", "<u4"), ("a", "<u4"), ("n", "<u2"), ("f", "u1")])
-_KINDS = ("<u8", "<u8", "<u4", "<u4", "<u2", "u1")
-_ENTRIES, _SETTLED, _BY_WINDOW, _BY_TEXT, _PIECE = range(5)
+#: Kinds of runs of one anchor, summed over chunks, beyond which they are dealt by window.
+CROWD = 256
+#: Occurrences of one piece that a chunk sends along; further ones share the verdict, as they are the same text.
+LOCAL = 16
+#: Distinct pieces settled at once, and rows of pieces for each task.
+PIECES = 4000
+TASK_ROWS = 20_000
+_CHUNK, _KEYS = 0, 1
+_ANCHOR, _CROWDED, _WINDOW = 0, 1, 2
+_PLACE = np.dtype([("id", "<i8"), ("d", "<u4"), ("a", "<u4")])
+_RANGE = np.dtype([("d", "<u4"), ("a", "<u4"), ("b", "<u4")])
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ class Units:
     length: int
     gram: int
     later: bool  # only windows that also start earlier
-    chunk: int
+    chunk: int = 8 << 20
 
     def values(self, text: bytes, cache: WordHashes) -> np.ndarray:
         if self.words:
@@ -120,23 +121,6 @@ def joined_ranges(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nda
     return doc[at], a[at], far[ends] - doc[at].astype(np.int64) * (1 << 40)
 
 
-_SCHEMA = "kind int, shard int, payload binary, ids binary, doc_id long, rid long, a int, b int, key long"
-
-
-def _rows(kind, shard=None, payload=None, ids=None, doc=None, a=None, b=None, key=None) -> pa.RecordBatch:
-    n = len(payload) if payload is not None else len(a)
-    if isinstance(shard, int):
-        shard = np.full(n, shard, np.int32)
-    none = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, kind, np.int32)), pa.array(shard, pa.int32()) if shard is not None else none(pa.int32()),
-        pa.array(payload, pa.binary()) if payload is not None else none(pa.binary()), pa.array(ids, pa.binary()) if ids is not None else none(pa.binary()),
-        pa.array(doc[0]) if doc is not None else none(pa.int64()), pa.array(doc[1]) if doc is not None else none(pa.int64()),
-        pa.array(a.astype(np.int32)) if a is not None else none(pa.int32()), pa.array(b.astype(np.int32)) if b is not None else none(pa.int32()),
-        pa.array(key.view(np.int64)) if key is not None else none(pa.int64()),
-    ], ["kind", "shard", "payload", "ids", "doc_id", "rid", "a", "b", "key"])
-
-
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of runs of equal keys in sorted arrays, and each row's run."""
     new = np.ones(len(keys[0]), dtype=bool)
@@ -145,184 +129,207 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _sent(h, r, d, a, b, ids: np.ndarray, rids: np.ndarray, shards: int, later: bool) -> Iterator[pa.RecordBatch]:
-    """What a chunk settles itself, and its entries for the shards."""
-    order = np.lexsort((a, ids[d], r, h))
-    h, r, d, a, b = h[order], r[order], d[order], a[order], b[order]
-    own = int(rids[0]) % shards  # rows that only pass through go along with some shard
-    heads, of = _groups(h, r)
-    size = np.bincount(of, minlength=len(heads)) if len(heads) else np.empty(0, np.int64)
-    if later:
-        first = heads[of]
-        done = (ids[d] != ids[d[first]]) | (a != a[first])
-    else:
-        done = (size > 1)[of] if len(heads) else np.empty(0, bool)
-    x, y, z = joined_ranges(d[done], a[done], b[done])
-    if len(x):
-        yield _rows(_SETTLED, shard=own, doc=(ids[x], rids[x]), a=y, b=z)
-    sent, many = heads, size > 1
-    if later and len(heads):  # rows that share an id and a place, not a text, are none of them earlier
-        tied = ~done & (rids[d] != rids[d[first]])
-        tied[heads] = True
-        sent = np.flatnonzero(tied)
-        many = many[of[sent]]
-    e = np.zeros(len(sent), _ENTRY)
-    e["h"], e["r"], e["d"], e["a"], e["n"], e["f"] = h[sent], r[sent], d[sent], a[sent], (b - a)[sent], np.where(many, _MANY, 0)
-    tops, by = _groups(e["h"])
-    kinds = np.bincount(by, minlength=len(tops)) if len(tops) else np.empty(0, np.int64)
-    crowd = (kinds > CROWD)[by] if len(tops) else np.empty(0, bool)
-    if crowd.any():
-        c = e[crowd]
-        yield _rows(_BY_WINDOW, shard=own, doc=(ids[c["d"]], rids[c["d"]]), a=c["a"].astype(np.int64), b=c["a"].astype(np.int64) + c["n"])
-        lead = np.zeros(len(e), dtype=bool)
-        lead[tops[kinds > CROWD]] = True
-        e["f"][lead] |= _CROWDED
-        e = e[~crowd | lead]
-    # shards are ranges of hashes, so that a slice is sorted and its steps are short
-    bounds = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
-    cuts = [0, *np.searchsorted(e["h"], bounds).tolist(), len(e)]
-    names, payloads, lists = [], [], []
-    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        if hi > lo:
-            part = e[lo:hi]
-            used, docs = np.unique(part["d"], return_inverse=True)
-            names.append(s)
-            payloads.append(packed(np.diff(part["h"], prepend=np.uint64(0)), part["r"].copy(), docs.astype("<u4"), part["a"].copy(), part["n"].copy(), part["f"].copy()))
-            lists.append(packed(ids[used], rids[used]))
-    if names:
-        yield _rows(_ENTRIES, shard=names, payload=payloads, ids=lists)
-
-
-def _settle(table: pa.Table, later: bool, by_text: bool) -> pa.Table:
-    """One shard: settle its anchors; rows that are no entries pass through."""
-    lean_memory()
-    entries = pc.equal(table.column("kind"), _ENTRIES)
-    passed, table = table.filter(pc.invert(entries)), table.filter(entries)
-    if not table.num_rows:
-        return passed
-    parts, ids, rids = [], [], []
-    base = 0
-    for payload, listed in zip(table.column("payload").to_pylist(), table.column("ids").to_pylist()):
-        columns = unpacked(payload, *_KINDS)
-        two = unpacked(listed, "<i8", "<i8")
-        e = np.empty(len(columns[0]), _ENTRY)
-        for name, c in zip(_ENTRY.names, columns):
-            e[name] = np.cumsum(c, dtype=np.uint64) if name == "h" else c
-        e["d"] += base
-        base += len(two[0])
-        parts.append(e)
-        ids.append(two[0])
-        rids.append(two[1])
-    e, id_, rid = np.concatenate(parts), np.concatenate(ids), np.concatenate(rids)
-    e = e[np.lexsort((e["a"], id_[e["d"]], e["r"], e["h"]))]
-    tops, by = _groups(e["h"])
-    heads, of = _groups(e["h"], e["r"])
-    crowded = np.bitwise_or.reduceat(e["f"] & _CROWDED, tops).astype(bool)[by]
-    weight = np.add.reduceat(1 + (e["f"] & _MANY).astype(np.int64), heads)[of]
-    alike = (np.bincount(by, weights=_flags(heads, len(e))) == 1)[by]
-    lead = _flags(heads, len(e)).astype(bool)
-    real = (e["f"] & _CROWDED) == 0
-    if later:
-        first = heads[of]
-        settled = real & ~crowded & ((id_[e["d"]] != id_[e["d"][first]]) | (e["a"] != e["a"][first]))
-        mixed = real & ~crowded & ~settled & ~alike
-    else:
-        settled = real & ~crowded & (weight > 1)
-        mixed = real & ~crowded & lead & ~alike
-    out = []
-    a, b = e["a"].astype(np.int64), e["a"].astype(np.int64) + e["n"]
-    x, y, z = joined_ranges(e["d"][settled], a[settled], b[settled])
-    out.append(_rows(_SETTLED, doc=(id_[x], rid[x]), a=y, b=z))
-    for kind, which in ((_BY_WINDOW, crowded & real), (_BY_TEXT if by_text else _BY_WINDOW, mixed)):
-        d = e["d"][which]
-        out.append(_rows(kind, doc=(id_[d], rid[d]), a=a[which], b=b[which], key=np.ascontiguousarray(e["h"][which])))
-    return pa.concat_tables([pa.Table.from_batches(out), passed.select(out[0].schema.names).cast(out[0].schema)])
-
-
-def _flags(at: np.ndarray, n: int) -> np.ndarray:
-    f = np.zeros(n)
-    f[at] = 1
-    return f
-
-
-def _settled(entries: DataFrame, later: bool, by_text: bool) -> DataFrame:
-    return entries.groupBy("shard").applyInArrow(lambda t: _settle(t, later, by_text), _SCHEMA)
-
-
-def ranges_by_doc(rows: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, rid, ranges``; a set, so that repeated rows of the input add nothing."""
-    return rows.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("a", "b", *more)).alias("ranges"))
-
-
-def with_ranges(docs: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
-    """``doc_id, rid, text, ranges`` of keyed documents."""
-    return docs.join(ranges, same_doc(docs, ranges), how).select(docs["doc_id"], docs["rid"], docs["text"], ranges["ranges"])
-
-
-def range_arrays(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each row's ranges as arrays of first and last starts (null: none)."""
-    c = batch.column("ranges")
-    flat = c.flatten()
-    a, b = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-    counts = np.array([0 if v is None else v for v in pc.list_value_length(c).to_pylist()], dtype=np.int64)
-    ends = np.cumsum(counts)
-    return [(a[e - n : e], b[e - n : e]) for e, n in zip(ends, counts)]
-
-
-def recurring(docs: DataFrame, units: Units, folder: str, settle_pieces: Callable[[pa.Table], pa.Table] | None = None, pieces_each: int = 4000) -> DataFrame:
-    """``doc_id, rid, ranges`` for ``docs`` (see ``with_key``; ``doc_id`` not null): ranges of window starts that recur.
-
-    ``settle_pieces`` may settle the mixed runs in its own way: it gets a
-    table of ``doc_id, rid, a, payload`` (the bytes of a run's windows, which
-    begin at ``a``), with all runs of an anchor in one table, and returns
-    ``doc_id, rid, a, b``.  Else they are compared by window hash.
-    Everything between stages is written to ``folder``.
+class Chunk:
+    """Whole texts packed in one row: ``head`` has ids, nulls and lengths, ``body`` the texts."""
+
+    SCHEMA = "head binary, body binary"
+
+    def __init__(self, ids: np.ndarray, null: np.ndarray, texts: list[bytes]):
+        self.ids, self.null, self.texts = ids, null, texts
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Chunk:
+        ids = batch.column("doc_id")
+        return cls(ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), [t or b"" for t in raw_texts(batch)])
+
+    def packed(self) -> tuple[bytes, bytes]:
+        head = np.stack([self.ids.astype("<i8"), self.null.astype("<i8"), np.array(list(map(len, self.texts)), "<i8")]).tobytes()
+        return head, zstandard.ZstdCompressor(level=1).compress(b"".join(self.texts))
+
+    @classmethod
+    def unpacked(cls, table: pa.Table) -> Chunk:
+        lean_memory()
+        ids, null, sizes = np.frombuffer(table.column("head")[0].as_py(), "<i8").reshape(3, -1)
+        total = int(sizes.sum())
+        whole = zstandard.ZstdDecompressor().decompress(table.column("body")[0].as_py(), max_output_size=max(1, total)) if total else b""
+        ends = np.cumsum(sizes).tolist()
+        return cls(ids, null.astype(bool), [whole[e - n : e] for e, n in zip(ends, sizes.tolist())])
+
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.null)
+
+
+def _recurring_keys(rows: DataFrame) -> DataFrame:
+    """``cid, key, crowded`` of the keys that more than one occurrence has, from ``key, cid, n, kinds``, one row for each chunk and key."""
+    every = Window.partitionBy("key")
+    return rows.withColumns({"t": F.sum("n").over(every), "m": F.sum("kinds").over(every)}).where("t > 1").select("cid", "key", (F.col("m") > CROWD).alias("crowded"))
+
+
+def _windows(values: dict[int, np.ndarray], d: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, document and start of each window of the runs."""
+    hs, ds, ss = ([np.empty(0, t)] for t in (np.uint64, np.int64, np.int64))
+    for doc in np.unique(d).tolist():
+        own = d == doc
+        _, x, y = joined_ranges(np.zeros(int(own.sum()), np.int64), a[own], b[own])
+        s = np.concatenate([np.arange(i, j + 1) for i, j in zip(x.tolist(), y.tolist())])
+        hs.append(span_hashes(prefix_hashes(values[doc]), s, s + length))
+        ds.append(np.full(len(s), doc))
+        ss.append(s)
+    return np.concatenate(hs), np.concatenate(ds), np.concatenate(ss)
+
+
+def _keys(kind: pa.Table) -> dict[int, np.ndarray]:
+    how, key = kind.column("how").to_numpy(), kind.column("key").to_numpy().view(np.uint64)
+    return {k: key[how == k] for k in (_ANCHOR, _CROWDED, _WINDOW)}
+
+
+Settle = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _settled(settle: Settle):
+    """Pieces in order of their keys to the ranges of window starts that ``settle`` marks."""
+
+    def flush(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
+        lean_memory()
+        index: dict[tuple[int, bytes], int] = {}
+        piece = [index.setdefault((key, text), len(index)) for key, _, text, _ in rows]
+        places = [np.frombuffer(p, _PLACE) for _, _, _, p in rows]
+        many = list(map(len, places))
+        at = np.concatenate(places)
+        of, cid = np.repeat(piece, many), np.repeat(np.array([c for _, c, _, _ in rows], np.int64), many)
+        _, group = np.unique(np.array([k for k, _ in index], np.int64), return_inverse=True)
+        which, x, y = settle([t for _, t in index], group, of, at["id"].astype(np.int64), at["a"].astype(np.int64))
+        order = np.argsort(cid[which], kind="stable")
+        which, x, y = which[order], x[order], y[order]
+        out = np.empty(len(which), _RANGE)
+        out["d"], out["a"], out["b"] = at["d"][which], at["a"][which] + x, at["a"][which] + y
+        names, starts = np.unique(cid[which], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array([out[i:j].tobytes() for i, j in zip(starts, [*starts[1:], len(out)])], pa.binary())], ["cid", "ranges"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes, bytes]] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cid", "piece", "places"))):
+                if len(held) >= PIECES and row[0] != held[-1][0]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tuple[DataFrame, DataFrame]:
+    """``cid, head, body``, the corpus in chunks, and ``cid, ranges``, the window starts in each that recur.
+
+    ``docs``: ``doc_id, text``.  ``settle(pieces, group, of, ids, starts)``
+    gets distinct texts of runs, joined by single spaces if they are of words,
+    the number of each one's anchor, and of each occurrence its piece, its
+    doc_id (null: the least) and the start of its first window; all pieces of
+    an anchor come together.  It returns occurrences and the first and last of
+    their windows to mark, counted from the piece's start.  Everything between
+    stages is written to ``folder``.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(16, -(-total // SHARD_BYTES))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in chunks(batches, most=units.chunk):
-            ids, rids = (batch.column(c).to_numpy() for c in ("doc_id", "rid"))
-            h, r, d, a, b = runs_of([units.values(t or b"", cache) for t in raw_texts(batch)], units)
-            yield from _sent(h, r, d, a, b, ids, rids, shards, units.later)
-
-    first = saved(_settled(docs.mapInArrow(scan, _SCHEMA), units.later, settle_pieces is not None), f"{folder}/anchors", "kind")
-    mixed = first.where(F.col("kind").isin(_BY_WINDOW, _BY_TEXT))
-    tables = max(16, -(-first.where(F.col("kind") == _BY_TEXT).count() // pieces_each)) if settle_pieces else 1
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, cid = WordHashes(), TaskContext.get().partitionId() << 32  # the same if the task runs again
+        names = ["kind", "cid", "head", "body", "key", "n", "kinds"]
         for batch in chunks(batches, most=units.chunk):
-            ids, rids = (batch.column(c).to_numpy() for c in ("doc_id", "rid"))
-            hs, ds, ss = ([np.empty(0, t)] for t in (np.uint64, np.int64, np.int64))
-            places: list[tuple[int, int, int, bytes]] = []
-            extra = batch.column("ranges").flatten()
-            keys, by_text = pc.fill_null(extra.field(2), 0).to_numpy(zero_copy_only=False).view(np.uint64), extra.field(3).to_numpy(zero_copy_only=False) == _BY_TEXT
-            at = 0
-            for d, (text, (a, b)) in enumerate(zip(raw_texts(batch), range_arrays(batch))):
-                cut, key = by_text[at : at + len(a)], keys[at : at + len(a)]
-                at += len(a)
-                places += [(int((k >> np.uint64(20)) % np.uint64(tables)), d, x, text[x : y + units.length]) for k, x, y in zip(key[cut], a[cut].tolist(), b[cut].tolist())]
-                if cut.all():
-                    continue
-                v = units.values(text or b"", cache)
-                _, a, b = joined_ranges(np.zeros(int((~cut).sum()), np.int64), a[~cut].astype(np.int64), b[~cut].astype(np.int64))
-                s = np.concatenate([np.arange(x, y + 1) for x, y in zip(a, b)])
-                hs.append(span_hashes(prefix_hashes(v), s, s + units.length))
-                ds.append(np.full(len(s), d))
-                ss.append(s)
-            h, d, s = np.concatenate(hs), np.concatenate(ds), np.concatenate(ss)
-            yield from _sent(h, np.zeros(len(h), np.uint64), d, s, s, ids, rids, shards, units.later)
-            if places:
-                shard, d, x, data = zip(*places)
-                d, x = np.array(d), np.array(x)
-                yield _rows(_PIECE, shard=shard, payload=data, doc=(ids[d], rids[d]), a=x, b=x)
-
-    marks = ["doc_id", "rid", "a", "b"]
-    second = saved(with_ranges(docs, ranges_by_doc(mixed, "key", "kind"), "inner").mapInArrow(compare, _SCHEMA), f"{folder}/compared", "kind")
-    found = first.where(F.col("kind") == _SETTLED).select(marks).unionByName(_settled(second.where(F.col("kind").isin(_ENTRIES, _SETTLED)), units.later, False).select(marks))
-    if settle_pieces:
-        found = found.unionByName(second.where(F.col("kind") == _PIECE).groupBy("shard").applyInArrow(lambda t: settle_pieces(t), "doc_id long, rid long, a int, b int"))
-    return saved(ranges_by_doc(found), f"{folder}/found")
+            chunk = Chunk.of(batch)
+            none = lambda t: pa.nulls(1, t)
+            yield pa.RecordBatch.from_arrays([pa.array([_CHUNK], pa.int32()), pa.array([cid]), *[pa.array([x], pa.binary()) for x in chunk.packed()], none(pa.int64()), none(pa.int32()), none(pa.int32())], names)
+            h, r, *_ = runs_of([units.values(t, cache) for t in chunk.texts], units)
+            order = np.lexsort((r, h))
+            h, r = h[order], r[order]
+            heads, by = _groups(h)
+            if len(heads):
+                kinds = np.bincount(by[_groups(h, r)[0]], minlength=len(heads))
+                n = len(heads)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(n, _KEYS, np.int32)), pa.array(np.full(n, cid)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
+                    pa.array(h[heads].view(np.int64)), pa.array(np.minimum(np.bincount(by), 2).astype(np.int32)), pa.array(kinds.astype(np.int32)),
+                ], names)
+            cid += 1
+
+    first = saved(docs.mapInArrow(scan, f"kind int, cid long, {Chunk.SCHEMA}, key long, n int, kinds int"), f"{folder}/chunks", "kind")
+    corpus = first.where(F.col("kind") == _CHUNK).select("cid", "head", "body")
+    found = saved(_recurring_keys(first.where(F.col("kind") == _KEYS)), f"{folder}/anchors")
+    known = found.select(F.col("cid").alias("in"), "key", F.when(F.col("crowded"), _CROWDED).otherwise(_ANCHOR).alias("how"))
+
+    def by_window(left: pa.Table, right: pa.Table) -> pa.Table:
+        cid, crowd = left.column("cid")[0].as_py() if left.num_rows else 0, right.column("key").to_numpy().view(np.uint64)
+        hashes = np.empty(0, np.uint64)
+        if left.num_rows and len(crowd):
+            chunk, cache = Chunk.unpacked(left), WordHashes()
+            values = [units.values(t, cache) for t in chunk.texts]
+            h, _, d, a, b = runs_of(values, units)
+            own = np.isin(h, crowd)
+            hashes, _, _ = _windows(values, d[own], a[own], b[own], units.length)
+        hashes, n = np.unique(hashes, return_counts=True)
+        return pa.table([pa.array(np.full(len(hashes), cid)), pa.array(hashes.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["cid", "key", "n"])
+
+    crowded = known.where(F.col("how") == _CROWDED)
+    if not crowded.isEmpty():
+        having = corpus.join(crowded.select("in").distinct(), F.col("cid") == F.col("in"), "left_semi")
+        rows = having.groupBy("cid").cogroup(crowded.groupBy("in")).applyInArrow(by_window, "cid long, key long, n int")
+        again = saved(_recurring_keys(rows.withColumn("kinds", F.lit(1))), f"{folder}/windows")
+        known = known.unionByName(again.select(F.col("cid").alias("in"), "key", F.lit(_WINDOW).alias("how")))
+
+    names = ["key", "cid", "piece", "places", "ranges"]
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            cid, chunk, cache, keys = left.column("cid")[0].as_py(), Chunk.unpacked(left), WordHashes(), _keys(right)
+            values = [units.values(t, cache) for t in chunk.texts]
+            h, _, d, a, b = runs_of(values, units)
+            own = np.isin(h, keys[_ANCHOR])
+            parts = [(h[own], d[own], a[own], b[own])]
+            if len(keys[_CROWDED]):
+                own = np.isin(h, keys[_CROWDED])
+                w, wd, s = _windows(values, d[own], a[own], b[own], units.length)
+                own = np.isin(w, keys[_WINDOW])
+                parts.append((w[own], wd[own], s[own], s[own]))
+            h, d, a, b = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((a, d, chunk.ids[d]))  # places of a piece come in order of doc_id, then place
+            places = np.empty(len(order), _PLACE)
+            places["id"], places["d"], places["a"] = chunk.ids[d[order]], d[order], a[order]
+            held: dict[tuple[int, bytes], list[int]] = {}
+            doc, text = -1, []
+            for i, (k, x, u, v) in enumerate(zip(h[order].view(np.int64).tolist(), d[order].tolist(), a[order].tolist(), b[order].tolist())):
+                if x != doc:
+                    doc, text = x, chunk.texts[x].split() if units.words else chunk.texts[x]
+                piece = text[u : v + units.length]
+                held.setdefault((k, b" ".join(piece) if units.words else piece), []).append(i)
+            last = b[order]
+            for (k, piece), at in held.items():
+                ranges = None
+                if len(at) > LOCAL:
+                    more = places[at[LOCAL:]]
+                    rest = np.empty(len(more), _RANGE)
+                    rest["d"], rest["a"], rest["b"] = more["d"], more["a"], last[at[LOCAL:]]
+                    lead = places[at[0]]
+                    ranges = rest[(more["id"] != lead["id"]) | (more["a"] != lead["a"])].tobytes() if units.later else rest.tobytes()
+                rows.append((k, cid, piece, places[at[:LOCAL]].tobytes(), ranges))
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
+
+    tasks = max(16, -(-known.count() // TASK_ROWS))
+    dealt = saved(corpus.groupBy("cid").cogroup(known.groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary"), f"{folder}/pieces")
+    compared = dealt.select("key", "cid", "piece", "places").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settled(settle), "cid long, ranges binary")
+    marked = compared.unionByName(dealt.where("ranges is not null").select("cid", "ranges"))
+    return corpus, saved(marked, f"{folder}/found")
+
+
+def applied(corpus: DataFrame, found: DataFrame, judge: Callable[[Chunk, list[tuple[np.ndarray, np.ndarray]]], pa.Table], schema: str) -> DataFrame:
+    """``judge`` on each chunk, with the joined ranges of window starts of each of its texts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = Chunk.unpacked(left)
+        every = np.frombuffer(b"".join(right.column("ranges").to_pylist()), _RANGE)
+        d, a, b = joined_ranges(*(every[c].astype(np.int64) for c in ("d", "a", "b")))
+        cuts = np.searchsorted(d, np.arange(len(chunk.texts) + 1))
+        return judge(chunk, [(a[i:j], b[i:j]) for i, j in zip(cuts, cuts[1:])])
+
+    return corpus.groupBy("cid").cogroup(found.select(F.col("cid").alias("in"), "ranges").groupBy("in")).applyInArrow(run, schema)

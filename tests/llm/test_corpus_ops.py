@@ -57,10 +57,18 @@ def brute_phrases(rows, length):
     return in_order(out)
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_phrases(spark, monkeypatch, crowd):
+def small_parts(monkeypatch, crowd):
+    """Many small chunks, shards and batches of pieces."""
     monkeypatch.setattr(recurrence, "CROWD", crowd)
-    monkeypatch.setattr(recurrence, "SHARD_BYTES", 1 << 10)
+    monkeypatch.setattr(recurrence, "LOCAL", 2)
+    monkeypatch.setattr(recurrence, "PIECES", 50)
+    monkeypatch.setattr(recurrence, "TASK_ROWS", 100)
+    monkeypatch.setattr(recurrence.Units, "__post_init__", lambda self: object.__setattr__(self, "chunk", 2000), raising=False)
+
+
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_phrases(spark, monkeypatch, crowd):
+    small_parts(monkeypatch, crowd)
     rows = repeats(crowd, [f"w{i % 23}" for i in range(60)], " ", [str(i) for i in range(50)])
     assert in_order(phrases.remove_repeated_phrases(frame(spark, rows), 12, digest=True).collect()) == brute_phrases(rows, 12)
 
@@ -78,12 +86,43 @@ def test_phrases_edges(spark):
     assert got == {1: "a b", 2: "c", 3: ""}
 
 
+def test_long_texts_and_empty_tables_of_both(spark):
+    rng = random.Random(6)
+    long = " ".join(rng.choice("abcdefghij") * 3 for _ in range(30_000))
+    rows = [(1, long + " x y"), (2, long[1000:60_000]), (3, "x " * 20_000), (4, "no " + long[4 * 20_000 :])]
+    assert in_order(phrases.remove_repeated_phrases(frame(spark, rows), digest=True).collect()) == brute_phrases(rows, 35)
+    assert in_order(bwt.remove_later_substrings(frame(spark, rows), digest=True).collect()) == brute_later(rows, 100)
+    assert bwt.remove_later_substrings(frame(spark, rows).limit(0)).count() == 0
+
+
 def test_automaton_with_two_symbols():
     passages = {(b"a", b"b"), (b"b", b"c", b"d")}
     for most in (3, 1 << 20):
         a = phrases.PassageAutomaton(passages, most)
-        assert a.covered(b"x a b c d b c a".split()).tolist() == [False, True, True, True, True, False, False, False]
-    assert not phrases.PassageAutomaton(set()).covered([b"a"]).any()
+        assert sorted(a.located(b"x a b c d b c a".split())) == [(1, 3), (2, 5)]
+    assert phrases.PassageAutomaton(set()).located([b"a"]) == []
+
+
+def settled_by(settle, pieces, ids, starts):
+    """Marked (piece, window) of pieces of one anchor that stand in one place each."""
+    n = len(pieces)
+    which, x, y = settle(pieces, np.zeros(n, np.int64), np.arange(n), np.array(ids), np.array(starts))
+    return sorted((w, k) for w, i, j in zip(which.tolist(), x.tolist(), y.tolist()) for k in range(i, j + 1))
+
+
+def test_only_the_automaton_removes(spark, monkeypatch):
+    rows = [(1, "a b c d e f"), (2, "x b c d e y"), (3, "b c d e")]
+    assert settled_by(phrases.located_in_pieces(3), [b"a b c d", b"b c d", b"x y z"], [1, 2, 3], [0, 0, 0]) == [(0, 1), (1, 0)]
+    assert sum(r["n_removed"] for r in phrases.remove_repeated_phrases(frame(spark, rows), 3).collect()) == 12
+    monkeypatch.setattr(phrases.PassageAutomaton, "located", lambda self, words: [])
+    assert settled_by(phrases.located_in_pieces(3), [b"a b c d", b"b c d", b"x y z"], [1, 2, 3], [0, 0, 0]) == []
+
+
+def test_only_intervals_of_the_transform_settle_unlike_texts(monkeypatch):
+    pieces = [b"abcdef", b"xbcdeg", b"bcdefz"]
+    assert settled_by(bwt.later_in_pieces(3), pieces, [1, 2, 3], [0, 0, 0]) == [(1, 1), (1, 2), (2, 0), (2, 1), (2, 2)]
+    monkeypatch.setattr(bwt, "merge", lambda parts, most: (np.concatenate([np.full(len(b), i) for i, (b, _) in enumerate(parts)]), np.zeros(sum(len(b) for b, _ in parts), np.int16)))
+    assert settled_by(bwt.later_in_pieces(3), pieces, [1, 2, 3], [0, 0, 0]) == []
 
 
 def test_long_documents_in_pieces():
@@ -115,11 +154,9 @@ def brute_later(rows, length):
     return in_order(out)
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
+@pytest.mark.parametrize("crowd", [2, 256])
 def test_later_substrings(spark, monkeypatch, crowd):
-    monkeypatch.setattr(recurrence, "CROWD", crowd)
-    monkeypatch.setattr(recurrence, "SHARD_BYTES", 1 << 10)
-    monkeypatch.setattr(bwt, "RUNS", 50)
+    small_parts(monkeypatch, crowd)
     rng = random.Random(crowd)
     rows = repeats(crowd, [rng.choice("abcdé") for _ in range(150)], "", list("0123456789"))
     assert in_order(bwt.remove_later_substrings(frame(spark, rows), 30, digest=True).collect()) == brute_later(rows, 30)
