@@ -7,12 +7,17 @@ are learned by expectation-maximisation on counts held out from those that
 the estimates come from.
 
 Counting never puts single n-grams through a shuffle.  A chunk of documents
-counts its own n-grams and sends each shard of the hash space one packed,
-sorted slice of them; the shard adds up all slices and answers each chunk with
-the corpus counts of what it asked for.  Chunks keep their token streams in
-the shared folder and are scored from those.  What is gathered thus grows with
-the corpus, every chunk and shard is bounded, and a frequent word is one
-entry per chunk.
+counts its own n-grams and sends FAN_OUT packed, sorted slices of them, one
+for each range of the hash space, however large the corpus is.  A task adds up
+the slices of at most about FAN_IN chunks for one range; if there are more,
+its sums are slices themselves, of FAN_OUT narrower ranges, and so on.  What
+was asked is answered the same way back, with the counts of all others.
+Chunks keep their token streams in the shared folder and are scored from
+those.  What is gathered thus grows with the corpus, every chunk and task is
+bounded, and a frequent word is one entry per chunk.
+
+N-grams are told apart by hashes of 64 bits (words) and 56 bits (bigrams):
+among a trillion distinct bigrams one in 70,000 shares its count with another.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, mix, packed, raw_texts, release, saved, unpacked, word_hashes, work_folder
+from .common import WordHashes, chunks, lean_memory, mix, packed, raw_texts, release, saved, unpacked, word_hashes, work_folder
 
-CHUNK = 4 << 20
-SHARD_BYTES = 8 << 20
+CHUNK = 8 << 20
+#: Slices that a chunk sends, and slices that a task adds up.
+FAN_OUT = 128
+FAN_IN = 512
 FOLDS = 10
 BUCKETS = 33
 #: Steps per octave of the probabilities that expectation-maximisation sees.
@@ -38,8 +45,9 @@ SMOOTHING = 0.1
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 _HELD = "h"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_SCHEMA = "part string, kind int, shard int, payload binary, train_docs long, kept_docs long"
-_ANSWER = "part string, kind int, shard int, payload binary, n long, v long, kept_n long, kept_v long"
+_SCHEMA = "part string, kind int, shard long, payload binary, train_docs long, kept_docs long"
+_ANSWER = "part string, kind int, shard long, payload binary, n long, v long, kept_n long, kept_v long"
+_BITS = {1: 64, 2: 56}
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -61,18 +69,19 @@ def _pairs(vocabulary: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> t
     return keys, back[of], context
 
 
-def _slices(keys: np.ndarray, counts: list[np.ndarray], shards: int, bits: int) -> Iterator[tuple[int, bytes]]:
-    """A sorted slice for each shard: shards are ranges of the keys."""
-    bounds = np.array([(i << bits) // shards for i in range(1, shards)], dtype=np.uint64)
+def _slices(keys: np.ndarray, counts: list[np.ndarray], kind: int, shard: int = 0, depth: int = 1) -> Iterator[tuple[int, bytes]]:
+    """Sorted slices of a shard's keys, one for each of FAN_OUT ranges; at depth 1 the shard is the whole hash space."""
+    first, width = shard * FAN_OUT, FAN_OUT**depth
+    bounds = np.array([min(-(-((first + i) << _BITS[kind]) // width), (1 << 64) - 1) for i in range(1, FAN_OUT)], dtype=np.uint64)
     cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
     for s, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         if hi > lo:
             steps = np.diff(keys[lo:hi], prepend=np.uint64(0))
-            yield s, packed(steps, *[c[lo:hi].astype("<u4") for c in counts])
+            yield first + s, packed(steps, *[c[lo:hi].astype("<u4") for c in counts])
 
 
-def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
-    """Kind 0: a chunk's stream; kinds 1 and 2: its words and bigrams for each shard."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """Kind 0: a chunk's stream; kinds 1 and 2: its words and bigrams in slices."""
 
     def part(name: str, ids: list[int | None], texts: list[list[bytes]], folds: np.ndarray, cache: WordHashes) -> pa.RecordBatch:
         lengths = np.array([len(t) + 1 for t in texts])
@@ -81,15 +90,14 @@ def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
         inside[np.cumsum(lengths) - 1] = False
         hashes[inside] = word_hashes([w for t in texts for w in t], cache)
         vocabulary, stream = np.unique(hashes, return_inverse=True)
-        train, kept = folds != 0, (folds != 0) & (folds != 1)
+        learned = _learned(folds)
         data = packed(stream.astype("<u4"), lengths.astype("<u4"), folds.astype("<i4"), np.array([0 if i is None else i for i in ids], "<i8"), np.array([i is None for i in ids], "u1"))
-        rows = [(name, 0, zlib.crc32(name.encode()) % shards, data, int(train.sum()), int(kept.sum()))]
+        rows = [(name, 0, zlib.crc32(name.encode()), data, *(int(x.sum()) for x in learned))]
         pairs, of, _ = _pairs(vocabulary, stream, lengths)
-        for kind, keys, index, parts, bits in ((1, vocabulary, stream, small, 64), (2, pairs, of, shards, 56)):
-            tallies = [np.bincount(index[np.repeat(which, lengths)], minlength=len(keys)) for which in (train, kept)]
-            rows += [(name, kind, s, data, None, None) for s, data in _slices(keys, tallies, parts, bits)]
+        for kind, keys, index in ((1, vocabulary, stream), (2, pairs, of)):
+            rows += [(name, kind, s, data, None, None) for s, data in _slices(keys, _tallies(index, lengths, learned, len(keys)), kind)]
         columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["part", "kind", "shard", "payload", "train_docs", "kept_docs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["part", "kind", "shard", "payload", "train_docs", "kept_docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, at = WordHashes(), 0
@@ -107,42 +115,106 @@ def _counted(docs: DataFrame, shards: int, small: int) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """One shard: corpus counts for each slice; and a row of totals.  Streams pass through, with their numbers of documents."""
-    parts, kind, shard = table.column("part").to_pylist(), table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    if kind == 0:
-        none = pa.nulls(len(parts), pa.int64())
-        return pa.table([*(table.column(c) for c in ("part", "kind", "shard", "payload", "train_docs")), none, table.column("kept_docs"), none], names=["part", "kind", "shard", "payload", "n", "v", "kept_n", "kept_v"])
-    slices = [unpacked(p, "<u8", "<u4", "<u4") for p in table.column("payload").to_pylist()]
-    keys = np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in slices])
-    seen, of = np.unique(keys, return_inverse=True)
-    train = np.bincount(of, weights=np.concatenate([s[1] for s in slices]), minlength=len(seen)).astype("<u4")
-    kept = np.bincount(of, weights=np.concatenate([s[2] for s in slices]), minlength=len(seen)).astype("<u4")
-    ends = np.cumsum([len(s[0]) for s in slices])
-    # words come back with their counts: a part's words are its vocabulary
-    answers = [packed(*[s[0]] * (kind == 1), train[of[e - len(s[0]) : e]], kept[of[e - len(s[0]) : e]]) for s, e in zip(slices, ends)]
-    n = len(parts)
-    totals = [int(train.sum(dtype=np.int64)), int((train > 0).sum()), int(kept.sum(dtype=np.int64)), int((kept > 0).sum())]
-    return pa.table([
-        pa.array([*parts, None], pa.string()), pa.array([kind] * (n + 1), pa.int32()), pa.array([shard] * (n + 1), pa.int32()), pa.array([*answers, None], pa.binary()),
-        *[pa.array([None] * n + [t], pa.int64()) for t in totals],
-    ], names=["part", "kind", "shard", "payload", "n", "v", "kept_n", "kept_v"])
+def _learned(folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents are learned from: all that count, and those that the estimates for the weights come from."""
+    return folds != 0, (folds != 0) & (folds != 1)
+
+
+def _tallies(index: np.ndarray, lengths: np.ndarray, learned: tuple[np.ndarray, np.ndarray], n: int) -> list[np.ndarray]:
+    return [np.bincount(index[np.repeat(which, lengths)], minlength=n) for which in learned]
+
+
+class _Sum:
+    """The slices of one range added up."""
+
+    def __init__(self, table: pa.Table):
+        lean_memory()
+        self.parts, self.kind, self.shard = table.column("part").to_pylist(), table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        self.slices = [unpacked(p, "<u8", "<u4", "<u4") for p in table.column("payload").to_pylist()]
+        self.keys, self.of = np.unique(np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in self.slices]), return_inverse=True)
+        self.counts = [np.bincount(self.of, weights=np.concatenate([s[i] for s in self.slices]), minlength=len(self.keys)).astype(np.int64) for i in (1, 2)]
+
+    def answers(self, totals: list[np.ndarray], words: bool) -> list[bytes]:
+        """For each slice, how often all others have its keys; words come back too: a part's words are its vocabulary."""
+        ends = np.cumsum([len(s[0]) for s in self.slices])
+        return [packed(*[s[0]] * words, *[(t[self.of[e - len(s[0]) : e]] - s[i]).astype("<u4") for i, t in enumerate(totals, 1)]) for s, e in zip(self.slices, ends.tolist())]
+
+    def rows(self, answers: list[bytes], totals: list[int] | None) -> pa.Table:
+        parts, n = [*self.parts, *[None] * (totals is not None)], len(self.parts)
+        more = [pa.array([None] * n + [t], pa.int64()) for t in totals] if totals is not None else [pa.nulls(n, pa.int64())] * 4
+        return pa.table([pa.array(parts, pa.string()), pa.array([self.kind] * len(parts), pa.int32()), pa.array([self.shard] * len(parts), pa.int64()), pa.array([*answers, *[None] * (totals is not None)], pa.binary()), *more],
+                        names=["part", "kind", "shard", "payload", "n", "v", "kept_n", "kept_v"])
+
+
+def _answered(slices: DataFrame, tasks: int, folder: str, depth: int = 1) -> DataFrame:
+    """Answers to all slices, and a row of totals (``part`` null) of each narrowest range; streams pass through.
+
+    ``tasks``: how many tasks the slices of one range are too many for.  Each
+    level of the way up and back is written to ``folder``.
+    """
+    words = depth == 1
+    if tasks == 1:
+
+        def settle(table: pa.Table) -> pa.Table:
+            if not table.column("kind")[0].as_py():
+                none = pa.nulls(table.num_rows, pa.int64())
+                return pa.table([*(table.column(c) for c in ("part", "kind", "shard", "payload", "train_docs")), none, table.column("kept_docs"), none], names=["part", "kind", "shard", "payload", "n", "v", "kept_n", "kept_v"])
+            s = _Sum(table)
+            train, kept = s.counts
+            return s.rows(s.answers(s.counts, words and s.kind == 1), [int(train.sum()), int((train > 0).sum()), int(kept.sum()), int((kept > 0).sum())])
+
+        ranges = 2 * FAN_OUT**depth
+        return saved(slices.repartition(min(ranges, 1 << 17), "kind", "shard").groupBy("kind", "shard").applyInArrow(settle, _ANSWER), f"{folder}/answers-{depth}", "kind")
+
+    if words:
+        slices = saved(slices, f"{folder}/counted", "kind")
+    streams = slices.where("kind = 0")
+    slices = slices.where("kind > 0").select("part", "kind", "shard", "payload")
+    dealt = slices.withColumn("batch", F.pmod(F.xxhash64("part"), F.lit(tasks)))
+    node = lambda kind, shard, at: f"{kind}/{shard}/{at}"
+
+    def merge(table: pa.Table) -> pa.Table:
+        s, at = _Sum(table), table.column("batch")[0].as_py()
+        rows = [(node(s.kind, s.shard, at), s.kind, x, data) for x, data in _slices(s.keys, s.counts, s.kind, s.shard, depth + 1)]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "kind", "shard", "payload"])
+
+    ranges = min(2 * FAN_OUT**depth * tasks, 1 << 17)
+    merged = saved(dealt.repartition(ranges, "kind", "shard", "batch").groupBy("kind", "shard", "batch").applyInArrow(merge, "part string, kind int, shard long, payload binary"), f"{folder}/merged-{depth}")
+    merged = merged.withColumns({"train_docs": F.lit(None).cast("long"), "kept_docs": F.lit(None).cast("long")})
+    above = _answered(merged, -(-tasks // FAN_IN), folder, depth + 1)
+
+    def share(left: pa.Table, right: pa.Table) -> pa.Table:
+        s = _Sum(left)
+        others = [unpacked(p, "<u4", "<u4") for _, p in sorted(zip(right.column("place").to_pylist(), right.column("counts").to_pylist()))]
+        totals = [own + np.concatenate([o[i] for o in others]).astype(np.int64) for i, own in enumerate(s.counts)]
+        return s.rows(s.answers(totals, words and s.kind == 1), None)
+
+    asked = dealt.withColumn("node", F.concat_ws("/", "kind", "shard", "batch"))
+    told = above.where("part is not null").select(F.col("part").alias("asker"), F.col("shard").alias("place"), F.col("payload").alias("counts"))
+    shared = asked.groupBy("node").cogroup(told.groupBy("asker")).applyInArrow(share, _ANSWER)
+    every = shared.unionByName(above.where("part is null").select(shared.columns))
+    if words:
+        none = F.lit(None).cast("long")
+        every = every.unionByName(streams.select("part", "kind", "shard", "payload", F.col("train_docs").alias("n"), none.alias("v"), F.col("kept_docs").alias("kept_n"), none.alias("kept_v")))
+    return saved(every, f"{folder}/answers-{depth}", "kind")
 
 
 class Chunk:
     """A chunk's stream with the corpus counts of its words and bigrams."""
 
     def __init__(self, stream: pa.Table, answers: pa.Table):
+        lean_memory()
         self.stream, self.lengths, self.folds, self.ids, self.null = unpacked(stream.column("payload")[0].as_py(), "<u4", "<u4", "<i4", "<i8", "u1")
         self.stream, self.lengths = self.stream.astype(np.int64), self.lengths.astype(np.int64)
+        # shards are ranges of hashes, so slices in order of their shards are in order of hashes
         slices = sorted(zip(answers.column("order").to_pylist(), answers.column("place").to_pylist(), answers.column("counts").to_pylist()))
         words = [unpacked(data, "<u8", "<u4", "<u4") for kind, _, data in slices if kind == 1]
         pairs = [unpacked(data, "<u4", "<u4") for kind, _, data in slices if kind == 2]
-        # shards are ranges of hashes, so slices in order of their shards are in order of hashes
         vocabulary = np.concatenate([np.cumsum(w[0], dtype=np.uint64) for w in words])
-        self.words = [np.concatenate(c).astype(np.int64) for c in list(zip(*words))[1:]]
-        self.pairs = [np.concatenate(c).astype(np.int64) for c in zip(*pairs)]
-        _, self.pair, self.context = _pairs(vocabulary, self.stream, self.lengths)
+        keys, self.pair, self.context = _pairs(vocabulary, self.stream, self.lengths)
+        learned = _learned(self.folds)
+        own = (_tallies(self.stream, self.lengths, learned, len(vocabulary)), _tallies(self.pair, self.lengths, learned, len(keys)))
+        self.words, self.pairs = ([mine + np.concatenate(c) for mine, c in zip(o, theirs)] for o, theirs in zip(own, ([*zip(*words)][1:], [*zip(*pairs)])))
 
     def counts(self, kept: bool, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: count of its bigram, of its context and of itself, in kept or all training text."""
@@ -193,14 +265,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     folder = work_folder(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-total // SHARD_BYTES))
-    counted = _counted(slim, shards, max(4, shards // 6)).groupBy("kind", "shard").applyInArrow(_answer, _ANSWER)
-    answers = saved(counted, f"{folder}/answers", "kind")
-    streams = answers.where("kind = 0")
-    del counted
+    answers = _answered(_counted(slim), max(1, -(-total // (FAN_IN * CHUNK))), folder)
+    streams = answers.where("kind = 0").select("part", "payload", "n", "kept_n")
+    train_docs, kept_docs = (x or 0 for x in streams.agg(F.sum("n"), F.sum("kept_n")).first())
     release(spark)
     n, v, kept_n, kept_v = (x or 0 for x in answers.where("kind = 1 and part is null").agg(*[F.sum(c) for c in ("n", "v", "kept_n", "kept_v")]).first())
-    train_docs, kept_docs = (x or 0 for x in streams.agg(F.sum("n"), F.sum("kept_n")).first())
     # new names: the two sides of a cogroup must not share columns of one table
     slices = answers.where("kind > 0 and part is not null").select(F.col("part").alias("chunk"), F.col("kind").alias("order"), F.col("shard").alias("place"), F.col("payload").alias("counts"))
     both = streams.select("part", "payload").groupBy("part").cogroup(slices.groupBy("chunk"))

@@ -305,23 +305,88 @@ def test_connected_components(spark):
 # -- language model -----------------------------------------------------------------------------
 
 
-def test_lm(spark, monkeypatch):
+def brute_lm(rows):
+    """Counts, buckets, EM and scores of the whole model in plain Python."""
+    lower = lambda t: ["<s>", *(w.replace("T", "t") for w in (t or "").split()), "</s>"]
+    fold = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 10
+
+    def counted(keep):
+        pairs, words, docs = Counter(), Counter(), 0
+        for i, t in rows:
+            if keep(fold(i)):
+                w = lower(t)
+                docs += 1
+                words.update(w[1:])
+                pairs.update(zip(w, w[1:]))
+        words["<s>"] = docs
+        return pairs, words, sum(n for w, n in words.items() if w != "<s>"), sum(w != "<s>" and n > 0 for w, n in words.items())
+
+    def estimates(model, a, b):
+        pairs, words, n, v = model
+        return [pairs[a, b] / words[a] if words[a] else 0.0, words[b] / n if n else 0.0, 1 / (v + 1)]
+
+    bucket = lambda c: c.bit_length()
+    round_ = lambda p: 2 ** (round(4 * math.log2(p)) / 4) if p else 0.0
+    kept = counted(lambda f: f not in (0, 1))
+    events = defaultdict(Counter)
+    for i, t in rows:
+        if fold(i) == 1:
+            w = lower(t)
+            for a, b in zip(w, w[1:]):
+                p = estimates(kept, a, b)
+                events[bucket(kept[1][a])][round_(p[0]), round_(p[1]), p[2]] += 1
+    weights = defaultdict(lambda: [0.4, 0.5, 0.1], {0: [0.0, 0.9, 0.1]})
+    for k, seen in events.items():
+        x = weights[k]
+        for _ in range(60):
+            new = [0.0, 0.0, 0.0]
+            for p, n in seen.items():
+                share = [a * b for a, b in zip(x, p)]
+                new = [s + n * a / sum(share) for s, a in zip(new, share)]
+            x = [a / sum(new) for a in new]
+        weights[k] = x
+    final = {}
+    for k in {*weights, *range(33)}:
+        x = [max(a, b) for a, b in zip(weights[k], (0.0, 1e-6, 1e-6) if events else (0, 0, 0))]
+        final[k] = [a / sum(x) for a in x]
+    train = counted(lambda f: f != 0)
+    out = []
+    for _, t in rows:
+        w = lower(t)
+        out.append(sum(math.log10(sum(a * p for a, p in zip(final[bucket(train[1][x])], estimates(train, x, y)))) for x, y in zip(w, w[1:])))
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_lm(spark, monkeypatch, levels):
     monkeypatch.setattr(lm, "CHUNK", 2000)
-    monkeypatch.setattr(lm, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(lm, "FAN_OUT", {1: 8, 2: 4, 3: 3}[levels])
+    monkeypatch.setattr(lm, "FAN_IN", {1: 512, 2: 4, 3: 2}[levels])
     rng = random.Random(5)
     rows = [(i if rng.random() < 0.95 else None, " ".join(rng.choice(["the", "The", "cat", "sat", "on", "é", "mat" + str(rng.randrange(30))]) for _ in range(rng.randrange(40)))) for i in range(300)]
-    rows += [(900, None), (901, ""), (902, "the cat"), (902, "the cat")]
+    rows += [(900, None), (901, ""), (902, "the cat"), (902, "the cat"), (903, "on the mat1 " * 5000)]
     got = lm.score(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     lower = lambda t: [w.replace("T", "t") for w in (t or "").split()] + [None]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     counts = Counter(w for i, t in rows if not held(i) for w in lower(t))
     n, v = sum(counts.values()), len(counts)
-    want = in_order((i, held(i), len(lower(t)), sum(counts[w] > 0 for w in lower(t)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in lower(t)), 6)) for i, t in rows)
-    assert in_order((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
-    empty = lm.score(frame(spark, rows).limit(0))
-    assert empty.count() == 0
+    close = lambda x: round(x, 4)
+    want = in_order((i, held(i), len(lower(t)), sum(counts[w] > 0 for w in lower(t)), n, close(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in lower(t))), close(s)) for (i, t), s in zip(rows, brute_lm(rows)))
+    assert in_order((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], close(r["base_score"]), close(r["score"])) for r in got) == want
+    assert lm.score(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_lm_slices_do_not_grow_with_the_corpus():
+    """A chunk sends the same slices however many others there are."""
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 200_000, dtype=np.uint64))
+    ones = np.ones(len(keys), np.int64)
+    slices = list(lm._slices(keys, [ones, ones], 2))
+    assert len(slices) <= lm.FAN_OUT and sum(len(p) for _, p in slices) < 6.5 * len(keys)
+    shard, data = slices[7]
+    own = np.cumsum(lm.unpacked(data, "<u8", "<u4", "<u4")[0], dtype=np.uint64)
+    narrow = list(lm._slices(own, [ones[: len(own)]] * 2, 2, shard, 2))
+    assert {s // lm.FAN_OUT for s, _ in narrow} == {shard} and sum(len(lm.unpacked(p, "<u8", "<u4", "<u4")[0]) for _, p in narrow) == len(own)
 
 
 def test_lm_is_a_distribution():
