@@ -291,6 +291,60 @@ def test_mixing(spark, seed):
     assert "Python" not in mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def brute_queue(rows, places, share=1.5, epochs=2):
+    """Words taken of each copy of each row by one queue over all copies in order of finish time."""
+    size = lambda t: len((t or "").split())
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    goals = brute_targets(sizes, share, epochs)
+    nulls_first = lambda v: (v is not None, v if v is not None else 0)
+    queues, copies = {}, []
+    for i, t, s in rows:
+        queues.setdefault(s, []).append((places[i, s, size(t)], nulls_first(i), size(t), i))
+    for s, queue in queues.items():
+        before, alike = 0, {}
+        for place, _, n, i in sorted(queue, key=lambda q: (q[0] % (1 << 64), *q[1:3])):
+            alike[i, n] = copy = alike.get((i, n), 0) + 1
+            before += n
+            for turn in range(epochs):
+                if goals[s] > 0:
+                    copies.append(((turn * sizes[s] + before) / goals[s], place, nulls_first(i), s or "", n, turn, copy, (i, s, n)))
+    left, taken = int(share * sum(sizes.values())), {}
+    for *_, n, turn, copy, key in sorted(copies):
+        took = min(n, left)
+        left -= took
+        taken[*key, copy] = taken.get((*key, copy), 0) + took
+    return taken
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_is_one_queue(spark, seed, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    rng = random.Random(seed)
+    rows = [(i if rng.random() < 0.97 else None, "w " * rng.choice([0, 1, 3, 9, 40, 3000 * (rng.random() < 0.01)]), rng.choices(["a", "b", "c", None], [60, 5, 2, 9])[0]) for i in range(400)] + [(1000, "w " * 7, "tiny"), (1001, "w " * 20_000, "b")]
+    rows += rows[:30]
+    docs = frame(spark, rows)
+    place = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long"), F.lit(1))
+    places = {(r["doc_id"], r["source"], len((r["text"] or "").split())): r["place"] for r in docs.withColumn("place", place).collect()}
+    want, got = brute_queue(rows, places), {}
+    for r in mixing.mix(docs).collect():
+        got.setdefault((r["doc_id"], r["source"], r["size"]), []).append(r["taken"])
+    alike = {}
+    for (i, s, n, _), took in want.items():
+        alike.setdefault((i, s, n), []).append(took)
+    assert {k: sorted(v) for k, v in got.items() if any(v)} == {k: sorted(v) for k, v in alike.items() if any(v)}
+
+
+def test_the_queue_is_sorted_by_one_exchange(spark):
+    plan = mixing.mix(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(time_slot") == 1 and "Python" not in plan
+    above = plan[: plan.index("rangepartitioning(time_slot")]
+    assert "Window" in above and above.count("Exchange") == 2  # the queue's own, and that which brings a row's copies together
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(frame(spark).limit(0)).count() == 0
     got = {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(frame(spark, [(1, None, "a"), (2, "", "b")])).collect()}
