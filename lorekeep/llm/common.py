@@ -165,6 +165,14 @@ class WordHashes(dict):
         return h
 
 
+_hashes = WordHashes()
+
+
+def worker_hashes() -> WordHashes:
+    """The word hashes that this process has remembered so far."""
+    return _hashes
+
+
 def word_hashes(words: list[bytes], cache: WordHashes) -> np.ndarray:
     return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 

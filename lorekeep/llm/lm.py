@@ -267,14 +267,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     answers = _answered(_counted(slim), max(1, -(-total // (FAN_IN * CHUNK))), folder)
     streams = answers.where("kind = 0").select("part", "payload", "n", "kept_n")
-    train_docs, kept_docs = (x or 0 for x in streams.agg(F.sum("n"), F.sum("kept_n")).first())
+    train_docs, kept_docs, parts = (x or 0 for x in streams.agg(F.sum("n"), F.sum("kept_n"), F.count(F.lit(1))).first())
     release(spark)
     n, v, kept_n, kept_v = (x or 0 for x in answers.where("kind = 1 and part is null").agg(*[F.sum(c) for c in ("n", "v", "kept_n", "kept_v")]).first())
     # new names: the two sides of a cogroup must not share columns of one table
     slices = answers.where("kind > 0 and part is not null").select(F.col("part").alias("chunk"), F.col("kind").alias("order"), F.col("shard").alias("place"), F.col("payload").alias("counts"))
-    both = streams.select("part", "payload").groupBy("part").cogroup(slices.groupBy("chunk"))
     is_held = lambda c: F.endswith(F.col(c), F.lit(_HELD))
-    held_parts = streams.where(is_held("part")).select("part", "payload").groupBy("part").cogroup(slices.where(is_held("chunk")).groupBy("chunk"))
+
+    def joined(streams: DataFrame, slices: DataFrame, tasks: int):
+        tasks = max(8, tasks)
+        return streams.select("part", "payload").repartition(tasks, "part").groupBy("part").cogroup(slices.repartition(tasks, "chunk").groupBy("chunk"))
+
+    both = joined(streams, slices, parts)
+    held_parts = joined(streams.where(is_held("part")), slices.where(is_held("chunk")), parts // FOLDS)
 
     def events(stream: pa.Table, slices_: pa.Table) -> pa.Table:
         c = Chunk(stream, slices_)

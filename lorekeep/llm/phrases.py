@@ -60,17 +60,23 @@ class PassageAutomaton:
         return found
 
 
-def confirmed(pieces: list[bytes], many: np.ndarray, length: int) -> set[tuple[bytes, ...]]:
-    """The passages that recurring windows of the pieces make up; ``many``: occurrences of each piece."""
+def confirmed(pieces: list[bytes], many: np.ndarray, group: np.ndarray, length: int) -> set[tuple[bytes, ...]]:
+    """The passages that recurring windows of the pieces make up; ``many``: occurrences of each piece, ``group``: its anchor.
+
+    Equal windows have equal anchors.  An anchor whose occurrences all have
+    the same text recurs with the whole of it.
+    """
+    alone = np.bincount(group)[group] == 1
+    passages = {tuple(pieces[i].split()) for i in np.flatnonzero(alone & (many > 1)).tolist()}
     seen: Counter[bytes] = Counter()
     windows = []
+    pieces, many = [pieces[i] for i in np.flatnonzero(~alone).tolist()], many[~alone]
     for piece, n in zip(pieces, many.tolist()):
         ends = list(accumulate(len(w) + 1 for w in piece.split()))  # of words, with the space after
         own = [piece[a : b - 1] for a, b in zip([0, *ends], ends[length - 1 :])]
         windows.append(own)
         for w in own:
             seen[w] += n
-    passages: set[tuple[bytes, ...]] = set()
     for piece, own in zip(pieces, windows):
         twice = np.array([seen[w] > 1 for w in own])
         if twice.any():
@@ -84,7 +90,7 @@ def located_in_pieces(length: int):
     """For ``recurring``: confirm, compile and locate."""
 
     def settle(pieces: list[bytes], group: np.ndarray, of: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        automaton = PassageAutomaton(confirmed(pieces, np.bincount(of, minlength=len(pieces)), length))
+        automaton = PassageAutomaton(confirmed(pieces, np.bincount(of, minlength=len(pieces)), group, length))
         hits = [(i, x, y - length) for i, piece in enumerate(pieces) for x, y in automaton.located(piece.split())]
         p, x, y = joined_ranges(*(np.array(c, np.int64) for c in zip(*hits))) if hits else (np.empty(0, np.int64),) * 3
         order = np.argsort(of, kind="stable")

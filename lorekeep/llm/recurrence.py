@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes
+from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes, worker_hashes
 
 #: Kinds of runs of one anchor, summed over chunks, beyond which they are dealt by window.
-CROWD = 256
+CROWD = 4000
 #: Occurrences of one piece that a chunk sends along; further ones share the verdict, as they are the same text.
 LOCAL = 16
 #: Distinct pieces settled at once, and rows of pieces for each task.
@@ -73,7 +73,7 @@ def runs_of(values: list[np.ndarray], units: Units) -> tuple[np.ndarray, ...]:
     Documents longer than a piece are taken in pieces that overlap by a
     window; a run that a cut divides is merely compared more finely.
     """
-    size, piece = units.length, 1 << 22
+    size, piece = units.length, 1 << 20
     parts = [(d, at, v[at : at + piece + size - 1]) for d, v in enumerate(values) for at in range(0, max(len(v) - size + 1, 0), piece)]
     out = []
     while parts:
@@ -233,13 +233,13 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, cid = WordHashes(), TaskContext.get().partitionId() << 32  # the same if the task runs again
+        cid = TaskContext.get().partitionId() << 32  # the same if the task runs again
         names = ["kind", "cid", "head", "body", "key", "n", "kinds"]
         for batch in chunks(batches, most=units.chunk):
             chunk = Chunk.of(batch)
             none = lambda t: pa.nulls(1, t)
             yield pa.RecordBatch.from_arrays([pa.array([_CHUNK], pa.int32()), pa.array([cid]), *[pa.array([x], pa.binary()) for x in chunk.packed()], none(pa.int64()), none(pa.int32()), none(pa.int32())], names)
-            h, r, *_ = runs_of([units.values(t, cache) for t in chunk.texts], units)
+            h, r, *_ = runs_of([units.values(t, worker_hashes()) for t in chunk.texts], units)
             order = np.lexsort((r, h))
             h, r = h[order], r[order]
             heads, by = _groups(h)
@@ -254,6 +254,7 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
 
     first = saved(docs.mapInArrow(scan, f"kind int, cid long, {Chunk.SCHEMA}, key long, n int, kinds int"), f"{folder}/chunks", "kind")
     corpus = first.where(F.col("kind") == _CHUNK).select("cid", "head", "body")
+    n_chunks = max(8, corpus.count())
     found = saved(_recurring_keys(first.where(F.col("kind") == _KEYS)), f"{folder}/anchors")
     known = found.select(F.col("cid").alias("in"), "key", F.when(F.col("crowded"), _CROWDED).otherwise(_ANCHOR).alias("how"))
 
@@ -261,8 +262,8 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
         cid, crowd = left.column("cid")[0].as_py() if left.num_rows else 0, right.column("key").to_numpy().view(np.uint64)
         hashes = np.empty(0, np.uint64)
         if left.num_rows and len(crowd):
-            chunk, cache = Chunk.unpacked(left), WordHashes()
-            values = [units.values(t, cache) for t in chunk.texts]
+            chunk = Chunk.unpacked(left)
+            values = [units.values(t, worker_hashes()) for t in chunk.texts]
             h, _, d, a, b = runs_of(values, units)
             own = np.isin(h, crowd)
             hashes, _, _ = _windows(values, d[own], a[own], b[own], units.length)
@@ -272,7 +273,7 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
     crowded = known.where(F.col("how") == _CROWDED)
     if not crowded.isEmpty():
         having = corpus.join(crowded.select("in").distinct(), F.col("cid") == F.col("in"), "left_semi")
-        rows = having.groupBy("cid").cogroup(crowded.groupBy("in")).applyInArrow(by_window, "cid long, key long, n int")
+        rows = having.repartition(n_chunks, "cid").groupBy("cid").cogroup(crowded.repartition(n_chunks, "in").groupBy("in")).applyInArrow(by_window, "cid long, key long, n int")
         again = saved(_recurring_keys(rows.withColumn("kinds", F.lit(1))), f"{folder}/windows")
         known = known.unionByName(again.select(F.col("cid").alias("in"), "key", F.lit(_WINDOW).alias("how")))
 
@@ -281,8 +282,8 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
     def deal(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows and right.num_rows:
-            cid, chunk, cache, keys = left.column("cid")[0].as_py(), Chunk.unpacked(left), WordHashes(), _keys(right)
-            values = [units.values(t, cache) for t in chunk.texts]
+            cid, chunk, keys = left.column("cid")[0].as_py(), Chunk.unpacked(left), _keys(right)
+            values = [units.values(t, worker_hashes()) for t in chunk.texts]
             h, _, d, a, b = runs_of(values, units)
             own = np.isin(h, keys[_ANCHOR])
             parts = [(h[own], d[own], a[own], b[own])]
@@ -316,7 +317,7 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
     tasks = max(16, -(-known.count() // TASK_ROWS))
-    dealt = saved(corpus.groupBy("cid").cogroup(known.groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary"), f"{folder}/pieces")
+    dealt = saved(corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(known.repartition(n_chunks, "in").groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary"), f"{folder}/pieces")
     compared = dealt.select("key", "cid", "piece", "places").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settled(settle), "cid long, ranges binary")
     marked = compared.unionByName(dealt.where("ranges is not null").select("cid", "ranges"))
     return corpus, saved(marked, f"{folder}/found")
@@ -332,4 +333,6 @@ def applied(corpus: DataFrame, found: DataFrame, judge: Callable[[Chunk, list[tu
         cuts = np.searchsorted(d, np.arange(len(chunk.texts) + 1))
         return judge(chunk, [(a[i:j], b[i:j]) for i, j in zip(cuts, cuts[1:])])
 
-    return corpus.groupBy("cid").cogroup(found.select(F.col("cid").alias("in"), "ranges").groupBy("in")).applyInArrow(run, schema)
+    n_chunks = max(8, corpus.count())
+    marks = found.select(F.col("cid").alias("in"), "ranges")
+    return corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(marks.repartition(n_chunks, "in").groupBy("in")).applyInArrow(run, schema)

@@ -257,6 +257,13 @@ def test_components_on_documents(spark, monkeypatch):
     assert len(got) == len(rows)
     ids, prints = [r["doc_id"] for r in got], [r["fp"] for r in got]
     assert [r["component_id"] for r in got] == brute_groups(prints, ids, 4)
+    assert simhash.simhash_components(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_fingerprint_of_a_long_text(spark):
+    long = "One two three four five " * 40_000
+    (row,) = simhash.simhash_components(frame(spark, [(1, long)])).collect()
+    assert row["fp"] % (1 << 64) == simhash.simhash(simhash.shingle_hashes(long.encode())) != 0
 
 
 def test_near_duplicates(spark):
@@ -271,10 +278,11 @@ def test_near_duplicates(spark):
                 copy[rng.randrange(300)] = word()
             rows.append((3 * g + c, " ".join(copy)))
             groups[3 * g + c] = 3 * g
-    rows += [(1000, None), (1001, ""), (None, "no id"), (None, "no id")]
-    kept = simhash.near_duplicates_removed(frame(spark, rows))
-    assert kept.columns == frame(spark, rows).columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*set(groups.values()), 1000, None, None], key=str)
+    rows += [(1000, None), (1001, ""), (None, "no id"), (None, "no id"), (0, "another text of the same id"), (2000, "twice"), (2000, "twice"), (None, "twice")]
+    docs = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, g_id string, content int")
+    kept = simhash.near_duplicates_removed(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*set(groups.values()), 0, 1000, 2000, None], key=str)
     assert simhash.near_duplicates_removed(frame(spark, rows).limit(0)).count() == 0
 
 
@@ -294,6 +302,52 @@ def test_near_duplicates_are_verified(spark):
     assert {r["doc_id"] for r in simhash.near_duplicates_removed(frame(spark, rows)).collect()} == want
 
 
+@needs_tables
+@pytest.mark.parametrize("slice_", [8, 4096])
+def test_near_duplicates_on_documents(spark, monkeypatch, slice_):
+    """What all pairs of texts with a similarity of 0.8 connect, with and without crowded shards."""
+    monkeypatch.setattr(simhash, "SLICE", slice_)
+    rows = [(r["doc_id"], r["text"]) for r in docs_of(spark).collect()]
+    rng = random.Random(1)
+    base = " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"]) + str(rng.randrange(50)) for _ in range(200))
+    for i in range(40):  # a large group of near copies
+        words = base.split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(200)] = f"x{rng.randrange(99)}"
+        rows.append((10_000 + i, " ".join(words)))
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := lower(t).encode().split()) else set() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    want = {rows[i][0] for i in range(len(rows)) if find(i) == i}
+    assert len(want) < 190 and {r["doc_id"] for r in simhash.near_duplicates_removed(frame(spark, rows)).collect()} == want
+
+
+def test_crowded_shards_cost_linear_rows(spark, monkeypatch):
+    """Thousands of copies whose fingerprints are a few bits from one: few of them search, and all are linked."""
+    monkeypatch.setattr(simhash, "SLICE", 500)
+    rng = np.random.default_rng(3)
+    flips = (np.uint64(1) << rng.permutation(64)[:20].astype(np.uint64))[np.stack([rng.permutation(20)[:4] for _ in range(9000)])]
+    flips[rng.random(flips.shape) < 0.3] = 0
+    center = np.uint64(0x0123456789ABCDEF)
+    prints = np.unique(np.append(center ^ np.bitwise_xor.reduce(flips, axis=1), center))
+    one = [int(center) ^ 31, int(center) ^ 0xFFFF_0000_0000]  # 5 and 16 bits away
+    table = spark.createDataFrame([(int(v),) for v in np.append(prints, np.array(one, np.uint64)).view(np.int64).tolist()], "fp long")
+    links = simhash.link_fingerprints(table).cache()
+    assert len(prints) > 2000 and links.count() < 300 * len(prints)
+    groups = {r["node"] % (1 << 64): r["component"] for r in components.connected_components(links).collect()}
+    assert len({groups[v] for v in prints.tolist()}) == 1 and one[1] not in groups
+
+
 def test_connected_components(spark):
     rng = random.Random(9)
     links = [(i, i + 1) for i in range(200)] + [(500, 500), (None, 3), (600, 601), (601, 600)] + [(1000, 1000 + rng.randrange(1, 400)) for _ in range(300)]
