@@ -187,7 +187,7 @@ Settle = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray],
 
 
 def _settled(settle: Settle):
-    """Pieces in order of their keys to the ranges of window starts that ``settle`` marks."""
+    """Pieces in order of their keys to the ranges of window starts that ``settle`` marks, and those marked before."""
 
     def flush(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
         lean_memory()
@@ -209,6 +209,9 @@ def _settled(settle: Settle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, bytes]] = []
         for batch in batches:
+            marked = batch.filter(batch.column("ranges").is_valid())
+            if marked.num_rows:
+                yield pa.RecordBatch.from_arrays([marked.column("cid"), marked.column("ranges")], ["cid", "ranges"])
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cid", "piece", "places"))):
                 if len(held) >= PIECES and row[0] != held[-1][0]:
                     yield flush(held)
@@ -317,9 +320,8 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
     tasks = max(16, -(-known.count() // TASK_ROWS))
-    dealt = saved(corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(known.repartition(n_chunks, "in").groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary"), f"{folder}/pieces")
-    compared = dealt.select("key", "cid", "piece", "places").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settled(settle), "cid long, ranges binary")
-    marked = compared.unionByName(dealt.where("ranges is not null").select("cid", "ranges"))
+    dealt = corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(known.repartition(n_chunks, "in").groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary")
+    marked = dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settled(settle), "cid long, ranges binary")
     return corpus, saved(marked, f"{folder}/found")
 
 
