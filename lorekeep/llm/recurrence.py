@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes, worker_hashes
 
-#: Kinds of runs of one anchor, summed over chunks, beyond which they are dealt by window.
-CROWD = 4000
+#: Kinds of runs of one anchor, summed over chunks, beyond which they are dealt by window: as many as a task settles in some 200 MB.
+CROWD = 20_000
 #: Occurrences of one piece that a chunk sends along; further ones share the verdict, as they are the same text.
 LOCAL = 16
 #: Distinct pieces settled at once, and rows of pieces for each task.
