@@ -122,12 +122,21 @@ def delegation_covers(namespace: Column, scope: str, now_ms: int) -> Column:
     return valid & (F.array_contains("scopes", scope) | F.array_contains("scopes", "Full")) & ((F.size("namespaces") == 0) | F.array_contains(F.col("namespaces"), namespace))
 
 
-def readable(records: DataFrame, namespaces: DataFrame, consents: DataFrame, delegations: DataFrame, caller: str, now_ms: int) -> DataFrame:
-    """Records in namespaces that ``caller`` may read: a semi-join with the few namespaces allowed."""
+def allowed_namespaces(namespaces: DataFrame, consents: DataFrame, delegations: DataFrame, caller: str, now_ms: int, action: str = "CrossNamespaceRead", scope: str = "ReadNamespace") -> DataFrame:
+    """``namespace``: those that ``caller`` owns, or may use by a consent to ``action`` or a delegation of ``scope`` from the owner."""
     own = namespaces.where(F.col("owner") == caller).select("id")
-    c = consents.where((F.col("action") == "CrossNamespaceRead") & (F.col("target") == caller) & (F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > now_ms)))
+    c = consents.where((F.col("action") == action) & (F.col("target") == caller) & (F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > now_ms)))
     by_consent = namespaces.join(c.select("consenter", F.col("namespace").alias("_ns")), (F.col("consenter") == F.col("owner")) & (F.col("_ns").isNull() | (F.col("_ns") == F.col("id")))).select("id")
     d = delegations.where(F.col("delegate") == caller).select("delegator", "scopes", "namespaces", "revoked", "expires_at_ms", "max_queries", "queries_used")
-    by_delegation = namespaces.select("id", "owner").join(d, F.col("delegator") == F.col("owner")).where(delegation_covers(F.col("id"), "ReadNamespace", now_ms)).select("id")
-    allowed = own.union(by_consent).union(by_delegation).distinct().select(F.col("id").alias("namespace"))
-    return records.join(allowed, "namespace", "left_semi")
+    by_delegation = namespaces.select("id", "owner").join(d, F.col("delegator") == F.col("owner")).where(delegation_covers(F.col("id"), scope, now_ms)).select("id")
+    return own.union(by_consent).union(by_delegation).distinct().select(F.col("id").alias("namespace"))
+
+
+def readable(records: DataFrame, namespaces: DataFrame, consents: DataFrame, delegations: DataFrame, caller: str, now_ms: int) -> DataFrame:
+    """Records in namespaces that ``caller`` may read: a semi-join with the few namespaces allowed."""
+    return records.join(allowed_namespaces(namespaces, consents, delegations, caller, now_ms), "namespace", "left_semi")
+
+
+def writable(records: DataFrame, namespaces: DataFrame, consents: DataFrame, delegations: DataFrame, caller: str, now_ms: int) -> DataFrame:
+    """Records that ``caller`` may write."""
+    return records.join(allowed_namespaces(namespaces, consents, delegations, caller, now_ms, "GrantWriteAccess", "WriteNamespace"), "namespace", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonval import Field
+from .store import change_counts
 
 
 def record_json() -> Column:
@@ -21,7 +22,7 @@ def metadata_json() -> Column:
 
 def branch_summary(branches: DataFrame, log: DataFrame) -> DataFrame:
     """Branches with the number of records that each has written or deleted itself."""
-    changes = log.where(F.col("op") != "move").groupBy(F.col("branch").alias("id")).agg(F.count_distinct("record_id").alias("change_count"))
+    changes = change_counts(log).withColumnRenamed("branch", "id")
     return branches.join(changes, "id", "left").withColumn("change_count", F.coalesce("change_count", F.lit(0)))
 
 

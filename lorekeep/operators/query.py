@@ -170,3 +170,8 @@ def with_total(records: DataFrame, q: Query, fields: Fields | None = None) -> Da
     """The page's rows, each with ``total_count`` of the filtered set."""
     total = count(records, q, fields).first()["n"]
     return select_page(records, q, fields).withColumn("total_count", F.lit(total).cast("bigint"))
+
+
+def count_by_schema(records: DataFrame) -> DataFrame:
+    """``schema, n``."""
+    return records.groupBy("schema").agg(F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,8 @@ from ..functions.canonical import canonical_json, content_hash, envelope
 
 #: Ancestries are resolved on the driver up to this many branches.
 MOST_BRANCHES = 100_000
+#: Conflicts that a refused merge names.
+MOST_CONFLICTS = 1_000
 
 
 class StoreError(ValueError):
@@ -91,6 +93,11 @@ def latest(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def change_counts(log: DataFrame) -> DataFrame:
+    """``branch, change_count``: how many records each branch has written or deleted itself."""
+    return log.where(F.col("op") != "move").groupBy("branch").agg(F.count_distinct("record_id").alias("change_count"))
+
+
 def change_sets(log: DataFrame, branch: str) -> DataFrame:
     """``record_id, is_present`` of what a branch itself has written or deleted."""
     own = log.where((F.col("branch") == branch) & (F.col("op") != "move"))
@@ -148,8 +155,11 @@ def numbered_rows(rows: DataFrame, *order: str, start: int = 0, slots: int = 256
 
 @dataclass
 class MergeResult:
+    """``conflicts`` names the first MOST_CONFLICTS of ``n_conflicts`` records; ``merge_conflicts`` gives all as rows."""
+
     merged: int
     conflicts: list[str]
+    n_conflicts: int = 0
 
 
 class RecordStore:
@@ -268,9 +278,10 @@ class RecordStore:
         if b["parent"] is None:
             raise StoreError(f"branch {branch} has no parent")
         log = self.table("log")
-        conflicts = [r[0] for r in merge_conflicts(log, branch, b["parent"], deletes_conflict).orderBy("record_id").limit(1000).collect()]
+        rows = merge_conflicts(log, branch, b["parent"], deletes_conflict)
+        conflicts = [r[0] for r in rows.orderBy("record_id").limit(MOST_CONFLICTS).collect()]
         if conflicts:
-            return MergeResult(0, conflicts)
+            return MergeResult(0, conflicts, len(conflicts) if len(conflicts) < MOST_CONFLICTS else rows.count())
         moves = merge_moves(log, branch, b["parent"], self._next("log")).persist()
         n = moves.count()
         self._append("log", moves)
@@ -314,15 +325,34 @@ def integrity_ok(records: DataFrame, algorithm: str = "sha256") -> Column:
     return F.coalesce(content_hash(text, algorithm) == F.col("record_id"), F.lit(False))
 
 
-def version_chain(records: DataFrame, depth: int = 20) -> DataFrame:
-    """``record_id, version_of, steps``: each record with each earlier version, up to ``depth`` steps back."""
+def version_chain(records: DataFrame, folder: str, depth: int | None = None) -> DataFrame:
+    """``record_id, version_of, steps``: each record with each earlier version, up to ``depth`` steps back if it is given.
+
+    Links are doubled: after round n all pairs at most 2**n steps apart are
+    known, each round one join, written to ``folder``.  A cycle of versions is
+    an error.
+    """
+    spark = records.sparkSession
+
+    def saved(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
     step = records.select("record_id", F.col("previous_version").alias("version_of")).where("version_of is not null")
-    out = level = step.withColumn("steps", F.lit(1))
-    links = step.select(F.col("record_id").alias("_r"), F.col("version_of").alias("_v"))
-    for n in range(2, depth + 1):
-        level = level.join(links, F.col("version_of") == F.col("_r")).select("record_id", F.col("_v").alias("version_of"), F.lit(n).alias("steps"))
-        out = out.union(level)
-    return out
+    known = saved(step.withColumn("steps", F.lit(1)), "versions-0")
+    reach, n, most = 1, 0, known.count()
+    while depth is None or reach < depth:
+        far = known.where(F.col("steps") == reach).select("record_id", F.col("version_of").alias("_at"))  # as far as is known
+        more = far.join(known.select(F.col("record_id").alias("_at"), "version_of", "steps"), "_at").select("record_id", "version_of", (F.col("steps") + reach).alias("steps"))
+        if depth is not None:
+            more = more.where(F.col("steps") <= depth)
+        if more.isEmpty():
+            break
+        if reach > most:
+            raise StoreError("versions go round in a circle")
+        n, reach = n + 1, 2 * reach
+        known = saved(known.unionByName(more), f"versions-{n}")
+    return known
 
 
 def namespace_status(log_visible: DataFrame, branches: DataFrame, namespaces: DataFrame, caller: str) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import RECORD
+from ..functions.crypto import open_sealed, seal
+from ..schema import RECORD, RECORD_LOG
 
 COLUMNS = [part.split()[0] for part in RECORD.split(", ")]
 
@@ -25,17 +26,25 @@ def pending(log: DataFrame, namespace: str, branch: str, cursor: int, pushed: Da
     return live.union(gone)
 
 
-def push(rows: DataFrame, path: str, device: str, namespace: str) -> int | None:
-    """Write a delta; the new cursor, or None if there was nothing."""
+def push(rows: DataFrame, path: str, device: str, namespace: str, key: bytes | None = None) -> int | None:
+    """Write a delta; the new cursor, or None if there was nothing.  With ``key`` each row is sealed, bound to device and cursor."""
     to = rows.agg(F.max("seq")).first()[0]
     if to is None:
         return None
+    if key is not None:
+        rows = rows.select(seal(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), key, F.lit(f"{device}\n{to}")).alias("sealed"))
     rows.write.mode("overwrite").parquet(f"{path}/{namespace}/deltas/device_id={device}/to_cursor={to}")
     return to
 
 
-def deltas(spark, path: str, namespace: str) -> DataFrame:
-    return spark.read.option("basePath", f"{path}/{namespace}/deltas").parquet(f"{path}/{namespace}/deltas/device_id=*/to_cursor=*")
+def deltas(spark, path: str, namespace: str, key: bytes | None = None, schema: str = RECORD_LOG) -> DataFrame:
+    """All deltas; a sealed row that was tampered with, moved to another delta, or sealed by another key fails the read."""
+    rows = spark.read.option("basePath", f"{path}/{namespace}/deltas").parquet(f"{path}/{namespace}/deltas/device_id=*/to_cursor=*")
+    if key is None:
+        return rows
+    plain = open_sealed(F.col("sealed"), key, F.concat_ws("\n", "device_id", "to_cursor")).cast("string")
+    sure = F.when(plain.isNull(), F.raise_error(F.lit("a delta does not open"))).otherwise(plain)
+    return rows.select(F.from_json(sure, schema).alias("r"), "device_id", "to_cursor").select("r.*", "device_id", "to_cursor")
 
 
 def incoming(all_deltas: DataFrame, me: str, cursors: dict[str, int]) -> DataFrame:

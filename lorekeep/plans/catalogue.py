@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +20,11 @@ from ..operators import recall as R
 from ..operators import store as S
 from ..operators import sync as Y
 from ..operators import vectors as V
-from ..operators.access import readable
+from ..operators.access import AccessControl, Consent, Delegation, readable, writable
 from ..sources import embedders as E
-from ..schema import FieldType, SchemaField, validate
-from ..session import ship
+from ..sources import files as B
+from ..schema import RECORD, RECORD_LOG, FieldType, SchemaField, validate
+from ..session import scratch, ship
 from ..streaming import tail as T
 from . import adapters as A
 
@@ -93,9 +94,9 @@ def _(spark, sf):
     return Q.matching(A.documents(spark, sf), Q.Query("documents", filter=P.Contains("body", "tion the"))).select("record_id")
 
 
-@add("filter_starts_with", "SELECT 'p' || p_partkey AS record_id FROM part WHERE starts_with(p_name, 'Part#00000001')")
+@add("filter_starts_with", "SELECT 'p' || p_partkey AS record_id FROM part WHERE starts_with(p_name, 'small r')")
 def _(spark, sf):
-    return Q.matching(A.parts(spark, sf), Q.Query("parts", filter=P.StartsWith("name", "Part#00000001"))).select("record_id")
+    return Q.matching(A.parts(spark, sf), Q.Query("parts", filter=P.StartsWith("name", "small r"))).select("record_id")
 
 
 @add("filter_has_previous_version", "SELECT 'c' || conv_id || '.' || turn AS record_id FROM conversations WHERE turn > 0")
@@ -151,7 +152,7 @@ def _(spark, sf):
 
 @add("count_by_schema", f"WITH {EV} SELECT schema_ AS schema, count(*) AS n FROM ev GROUP BY 1")
 def _(spark, sf):
-    return A.events(spark, sf).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+    return Q.count_by_schema(A.events(spark, sf))
 
 
 @add("total_count", f"WITH {EV} SELECT record_id, (SELECT count(*) FROM ev WHERE k < 50) AS total_count FROM ev WHERE k < 50 ORDER BY created_at_ms DESC, record_id LIMIT 25")
@@ -219,7 +220,7 @@ def _(spark, sf):
 
 @add("change_counts", f"WITH {LOG} SELECT branch, count(DISTINCT record_id) AS change_count FROM log GROUP BY 1")
 def _(spark, sf):
-    return A.branch_log(spark, sf).groupBy("branch").agg(F.count_distinct("record_id").alias("change_count"))
+    return S.change_counts(A.branch_log(spark, sf))
 
 
 @add("latest_wins_upsert", f"WITH {EV} SELECT user_id, max(seq) AS seq, arg_max(value, seq) AS value FROM ev GROUP BY 1")
@@ -244,18 +245,101 @@ def _(spark, sf):
     return S.tail(A.branch_log(spark, sf), "events", 100, None, "events/dev").select("record_id", "seq")
 
 
-@add("version_chain", "SELECT 'c' || a.conv_id || '.' || a.turn AS record_id, 'c' || b.conv_id || '.' || b.turn AS version_of, (a.turn - b.turn)::INTEGER AS steps FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn AND a.turn - b.turn <= 6")
+_CHAIN = "SELECT 'c' || a.conv_id || '.' || a.turn AS record_id, 'c' || b.conv_id || '.' || b.turn AS version_of, (a.turn - b.turn)::INTEGER AS steps FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn"
+
+
+@add("version_chain", _CHAIN)
 def _(spark, sf):
-    return S.version_chain(A.conversations(spark, sf), 6)
+    return S.version_chain(A.conversations(spark, sf), scratch(spark))
 
 
-@add("namespace_status", f"WITH {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) AS rn FROM log WHERE depth = 2) SELECT 'events' AS namespace, true AS is_owner, 3 AS branch_count, 0 AS active_digests, count(*) AS main_records FROM n WHERE rn = 1 AND NOT gone")
+@add("version_chain_depth", _CHAIN + " AND a.turn - b.turn <= 3")
 def _(spark, sf):
-    spaces = spark.createDataFrame([("events", "me")], "id string, owner string")
-    out = S.namespace_status(S.visible(A.branch_log(spark, sf), _chain(spark, "events/main")), A.branches(spark), spaces, "me")
+    return S.version_chain(A.conversations(spark, sf), scratch(spark), 3)
+
+
+@add("namespace_status", f"WITH {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) AS rn FROM log WHERE depth = 2) SELECT 'events' AS namespace, true AS is_owner, 7 AS branch_count, 2 AS active_digests, count(*) AS main_records FROM n WHERE rn = 1 AND NOT gone UNION ALL SELECT 'empty', false, 0, 0, 0")
+def _(spark, sf):
+    spaces = spark.createDataFrame([("events", "me"), ("empty", "you")], "id string, owner string")
+    labels = [("digest-1", "active"), ("agent-digest-2", "active"), ("digest-3", "merged"), ("my-digest-4", "active")]
+    more = spark.createDataFrame([(f"events/{x}", "events", "events/main", state, 0, x) for x, state in labels], A.branches(spark).schema)
+    out = S.namespace_status(S.visible(A.branch_log(spark, sf), _chain(spark, "events/main")), A.branches(spark).unionByName(more), spaces, "me")
     return out.withColumns({"branch_count": F.col("branch_count").cast("int"), "active_digests": F.col("active_digests").cast("int")})
 
 
+def _store(spark, sf):
+    """A store of events: every third on the main branch, the next ones on a branch of it, one record deleted there."""
+    s = S.RecordStore(spark, scratch(spark))
+    s.create_namespace("events", "events", "ann", 1, "all events")
+    for kind in ("click", "view"):
+        s.register_schema(f"events.{kind}", "1", "events", kind, [("type", "string", True, None)], 2)
+    s.register_schema("events.view", "2", "events", "view", [("type", "string", True, None)], 3)
+    e = A.events(spark, sf).withColumn("schema", F.lit("events.view"))
+    rows = lambda k: e.where(F.col("seq") % 3 == k).select([c.split()[0] for c in RECORD.split(", ")])
+    s.remember(rows(0), "events/main")
+    s.create_branch("events/dev", "events", "events/main", "dev", 4)
+    s.put(rows(1), "events/dev")
+    s.put(rows(1).where("created_at_ms % 2 = 0"), "events/dev")  # written twice
+    s.delete("e3", "events/dev", 5)
+    return s
+
+
+_STORED = f"""WITH {EV} SELECT record_id, CASE seq % 3 WHEN 0 THEN 'events/main' ELSE 'events/{{}}' END AS branch FROM ev WHERE seq % 3 IN ({{}}) {{}}"""
+
+
+@add("store_branch_view", _STORED.format("dev", "0, 1", "AND record_id <> 'e3'"))
+def _(spark, sf):
+    return _store(spark, sf).visible("events/dev").select("record_id", "branch")
+
+
+@add("store_main_untouched", _STORED.format("dev", "0", ""))
+def _(spark, sf):
+    return _store(spark, sf).visible("events/main").select("record_id", "branch")
+
+
+@add("store_merge", f"WITH {EV}, n AS (SELECT count(*) + 1 AS merged FROM ev WHERE seq % 3 = 1) SELECT record_id, 'events/main' AS branch, merged, 'merged' AS state, 0 AS conflicts FROM ev, n WHERE seq % 3 IN (0, 1) AND record_id <> 'e3'")
+def _(spark, sf):
+    s = _store(spark, sf)
+    done = s.merge("events/dev")
+    state = s.branches().where("id = 'events/dev'").first()["state"]
+    return s.visible("events/main").select("record_id", "branch", F.lit(done.merged).cast("bigint").alias("merged"), F.lit(state).alias("state"), F.lit(done.n_conflicts).alias("conflicts"))
+
+
+@add("store_merge_refused", f"WITH {EV} SELECT record_id, 'events/dev' AS branch, 1 AS conflicts, 'e3' AS first, 'active' AS state FROM ev WHERE seq % 3 = 1")
+def _(spark, sf):
+    s = _store(spark, sf)
+    done = s.merge("events/dev", deletes_conflict=True)
+    state = s.branches().where("id = 'events/dev'").first()["state"]
+    return s.visible("events/dev").where("branch = 'events/dev'").select("record_id", "branch", F.lit(done.n_conflicts).alias("conflicts"), F.lit(done.conflicts[0]).alias("first"), F.lit(state).alias("state"))
+
+
+@add("store_tail", f"WITH {EV} SELECT record_id FROM ev WHERE seq % 3 = 1")
+def _(spark, sf):
+    s = _store(spark, sf)
+    s.merge("events/dev")
+    return S.tail(s.table("log"), "events", 0, None, "events/dev").select("record_id")
+
+
+@add("store_dimensions", "SELECT * FROM (VALUES ('branch', 'events/dev', 'active'), ('branch', 'events/gone', 'abandoned'), ('branch', 'events/main', 'active'), ('namespace', 'events', 'ann'), ('namespace', 'free', 'ann'), ('branch', 'free/main', 'active'), ('schema', 'events.click', '1'), ('schema', 'events.view', '2'), ('schema', 'free.note', '1.0.0'), ('listed', 'events', 'events.click,events.view'), ('listed', 'free', 'free.note')) AS t(kind, id, state)")
+def _(spark, sf):
+    s = _store(spark, sf)
+    s.create_branch("events/gone", "events", "events/main", "gone", 6)
+    s.abandon_branch("events/gone")
+    s.note("free", "ann", '"hello"', 7)
+    parts = [s.branches().select(F.lit("branch").alias("kind"), "id", "state"), s.namespaces().select(F.lit("namespace").alias("kind"), "id", F.col("owner").alias("state"))]
+    parts += [s.schemas().select(F.lit("schema").alias("kind"), "id", F.col("version").alias("state")), s.namespaces().select(F.lit("listed").alias("kind"), "id", F.array_join("schemas", ",").alias("state"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@add("store_metadata", "SELECT * FROM (VALUES ('e1', 5.0, 2, 9, 4, NULL), ('e2', 0.0, 0, NULL, 8, 8)) AS t(record_id, score, reinforce_count, last_reinforced_at_ms, first_seen_ms, archived_at_ms)")
+def _(spark, sf):
+    s = S.RecordStore(spark, scratch(spark))
+    s.reinforce("e1", 2, 4)
+    s.reinforce("e1", 3, 9)
+    s.archive("e2", 8)
+    return s.metadata()
+
+
 # -- reinforcement and recall ----------------------------------------------------------
 
 META = EV + """, meta AS (SELECT 'u' || user_id AS record_id, sum(value) AS score, count(*) AS reinforce_count, arg_max(created_at_ms, seq) AS last_ms, min(created_at_ms) AS first_ms, user_id FROM ev GROUP BY user_id)"""
@@ -276,13 +360,16 @@ def _(spark, sf):
     return M.fold(A.reinforcements(spark, sf), A.archived(spark, sf)).where("archived_at_ms is null").select("record_id")
 
 
-@add("recall_top", f"WITH {META} SELECT record_id, round(score * {HALVED.format('last_ms')}, 4) AS decayed_score FROM meta WHERE user_id % 9 <> 0 ORDER BY score * {HALVED.format('last_ms')} DESC LIMIT 8")
+NEWEST = META + ", newest AS (SELECT * FROM meta ORDER BY first_ms DESC, record_id LIMIT 10000)"
+
+
+@add("recall_top", f"WITH {NEWEST} SELECT record_id, round(score * {HALVED.format('last_ms')}, 4) AS decayed_score FROM newest WHERE user_id % 9 <> 0 ORDER BY score * {HALVED.format('last_ms')} DESC LIMIT 8")
 def _(spark, sf):
     out = R.recall_top(A.users(spark, sf), M.fold(A.reinforcements(spark, sf), A.archived(spark, sf)), NOW, WEEK)
     return out.select("record_id", F.round("decayed_score", 4).alias("decayed_score"))
 
 
-@add("recall_by_topic", f"WITH {META}, t AS (SELECT *, score * {HALVED.format('last_ms')} AS d FROM meta WHERE user_id % 9 <> 0 ORDER BY d DESC LIMIT 20) SELECT 'group ' || (user_id % 4) AS topic, string_agg('user ' || user_id, '|' ORDER BY d DESC) AS statements FROM t GROUP BY 1")
+@add("recall_by_topic", f"WITH {NEWEST}, t AS (SELECT *, score * {HALVED.format('last_ms')} AS d FROM newest WHERE user_id % 9 <> 0 ORDER BY d DESC LIMIT 20) SELECT 'group ' || (user_id % 4) AS topic, string_agg('user ' || user_id, '|' ORDER BY d DESC) AS statements FROM t GROUP BY 1")
 def _(spark, sf):
     top = R.recall_top(A.users(spark, sf), M.fold(A.reinforcements(spark, sf), A.archived(spark, sf)), NOW, WEEK, 20)
     return R.grouped_by_topic(top).select("topic", F.array_join("statements", "|").alias("statements"))
@@ -308,32 +395,30 @@ def _(spark, sf):
 # -- vectors -----------------------------------------------------------------------------
 
 
-def _query_blocks(spark, sf, block=4096):
-    """Every 20th vector, in blocks of a bounded size."""
-    rows = A.vectors(spark, sf).where("vec_id % 20 = 0").select("vec_id", "embedding")
-    n = max(1, -(-rows.count() // block))
-    for b in range(n):
-        yield [(r["vec_id"], list(r["embedding"])) for r in rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).collect()]
+def _queries(spark, sf):
+    """Every 20th vector."""
+    return A.vectors(spark, sf).where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @add("vector_topk", """WITH s AS (SELECT q.vec_id AS qid, 'v' || v.vec_id AS record_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, record_id) AS rank FROM s) SELECT qid, record_id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def _(spark, sf):
-    index = A.vectors(spark, sf)
-    out = None
-    for block in _query_blocks(spark, sf):
-        part = V.top_k(index, block, 10, digits=6)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return V.in_blocks(_queries(spark, sf), lambda q: V.top_k(A.vectors(spark, sf), q, 10, digits=6), scratch(spark))
 
 
 @add("vector_threshold", "SELECT q.vec_id AS qid, count(*) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.35 GROUP BY 1")
 def _(spark, sf):
-    index, out = A.vectors(spark, sf), None
-    for block in _query_blocks(spark, sf):
-        part = V.scores(index, block, 1 << 30).where("score >= 0.35").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return V.in_blocks(_queries(spark, sf), lambda q: V.within(A.vectors(spark, sf), q, 0.35).groupBy("qid").agg(F.count(F.lit(1)).alias("n")), scratch(spark))
+
+
+@add("vector_index_reopened", "SELECT 'v' || vec_id AS record_id, vec_id % 3 AS version FROM embeddings WHERE vec_id % 3 = 2")
+def _(spark, sf):
+    to, key = scratch(spark), crypto.vector_key(b"master", "vec")
+    v = A.vectors(spark, sf)
+    for version in (1, 2):
+        V.save_index(V.index_rows(v.where(F.col("vec_id") % 3 == version).select("namespace", "record_id", "embedding"), 64), to, version, key)
+    back = V.open_index(spark, to, key).join(V.index_rows(v, 64).select("record_id", F.col("embedding").alias("was"), "vec_id"), "record_id")
+    return back.where("embedding = was").select("record_id", (F.col("vec_id") % 3).alias("version"))
 
 
 @add("vector_normalise", "SELECT 'v' || vec_id AS record_id, round(list_sum(list_transform(embedding, lambda x: (x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE * list_position(embedding, x))), 3) AS mark FROM embeddings")
@@ -480,12 +565,12 @@ def _(spark, sf):
 # -- digest -------------------------------------------------------------------------------------
 
 EPI = EV + """, epi AS (SELECT *, CASE WHEN seq % 5 <> 0 THEN type ELSE schema_ END AS topic, 'user ' || user_id || ' did ' || type || ' ' || repeat('again ', seq % 40) AS line FROM ev),
-facts AS (SELECT topic, arg_min(line, seq) AS line, count(*) AS support, 0.5 + least(count(*), 10) / 10.0 * 0.45 AS confidence, sha256(string_agg(record_id, ',' ORDER BY seq)) AS sources FROM epi GROUP BY 1)"""
+facts AS (SELECT topic, arg_min(line, seq) AS line, count(*) AS support, 0.5 + least(count(*), 10) / 10.0 * 0.45 AS confidence, bit_xor(('0x' || substr(md5(record_id), 1, 15))::BIGINT) AS sources FROM epi GROUP BY 1)"""
 
 
 @add("digest_topics", f"WITH {EPI} SELECT topic, CASE WHEN length(line) > 120 THEN substr(line, 1, 120) || '…' ELSE line END AS statement, round(confidence, 6) AS confidence, support, sources FROM facts")
 def _(spark, sf):
-    return D.digest(A.episodes(spark, sf)).select("topic", "statement", F.round("confidence", 6).alias("confidence"), "support", F.sha2(F.array_join("derived_from", ","), 256).alias("sources"))
+    return D.digest(A.episodes(spark, sf)).select("topic", "statement", F.round("confidence", 6).alias("confidence"), "support", "sources")
 
 
 @add("digest_split", f"WITH {EPI}, u AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1) SELECT 'user ' || user_id AS topic, 0.5 + least(n, 10) / 10.0 * 0.45 >= 0.75 AS merged FROM u")
@@ -502,17 +587,33 @@ def _(spark, sf):
 
 @add("digest_lineage", f"WITH {EPI} SELECT topic, count(*) AS n, max(seq) AS last FROM epi GROUP BY 1")
 def _(spark, sf):
-    e = A.episodes(spark, sf)
-    return D.lineage(D.digest(e).select("topic", "derived_from"), e).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    return D.lineage(A.episodes(spark, sf)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
 
 
-@add("prompt_budget", f"""WITH {EV}, c AS (SELECT seq, record_id, length(type) + 30 AS chars FROM ev WHERE seq < 200), w AS (SELECT *, sum(chars) OVER (ORDER BY seq) AS running, row_number() OVER (ORDER BY seq) AS rn FROM c)
+@add("prompt_budget", f"""WITH {EV}, c AS (SELECT seq, record_id, length(type) + 30 AS chars FROM ev), w AS (SELECT *, sum(chars) OVER (ORDER BY seq) AS running, row_number() OVER (ORDER BY seq) AS rn FROM c)
 SELECT seq, record_id, running::BIGINT AS running FROM w WHERE seq < coalesce((SELECT min(seq) FROM w WHERE running > 3000 AND rn > 1), 1000)""")
 def _(spark, sf):
-    rows = A.events(spark, sf).where("seq < 200").select("seq", "record_id", (F.char_length("type") + 30).cast("bigint").alias("chars"))
+    rows = A.events(spark, sf).select("seq", "record_id", (F.char_length("type") + 30).cast("bigint").alias("chars"))
     return D.admitted(rows, 3000).select("seq", "record_id", "running")
 
 
+_PROMPT = f"""{EV}, p AS (SELECT seq, record_id, '{{"seq":' || seq || ',"record_id":"' || record_id || '","schema":"' || schema_ || '","created_at_ms":' || created_at_ms || ',"data":{{"type":"' || CASE WHEN length(type) > 4 THEN substr(type, 1, 4) || '…' ELSE type END || '"}}}}' AS row FROM ev)"""
+
+
+def _prompts(spark, sf):
+    return D.prompt_rows(A.events(spark, sf).withColumn("data", F.to_json(F.struct("type"))), 4)
+
+
+@add("prompt_rows", f"WITH {_PROMPT} SELECT seq, record_id, row, length(row)::BIGINT AS chars FROM p")
+def _(spark, sf):
+    return _prompts(spark, sf)
+
+
+@add("next_cursor", f"WITH {_PROMPT}, w AS (SELECT *, sum(length(row)) OVER (ORDER BY seq) AS running FROM p) SELECT max(seq) AS cursor FROM w WHERE running <= 5000")
+def _(spark, sf):
+    return spark.createDataFrame([(D.next_cursor(D.admitted(_prompts(spark, sf), 5000), 0),)], "cursor bigint")
+
+
 # -- sync -----------------------------------------------------------------------------------------
 
 DEV = EV + """, dev AS (SELECT 's' || (seq % 1000) AS record_id, created_by, created_at_ms, seq, seq % 13 = 0 AS gone, user_id % 2 AS device FROM ev)"""
@@ -570,6 +671,56 @@ def _actions(strategy: str, tie: str) -> None:
         return Y.merge_actions(last, _local(spark, sf), strategy).select("record_id", "action")
 
 
+@add("sync_skips_equals", f"WITH {REPLAY}, r AS (SELECT * FROM last WHERE rn = 1 AND NOT gone) SELECT record_id, CASE WHEN seq % 3 = 0 THEN 'skip' WHEN seq % 3 = 1 THEN 'conflict_remote' ELSE 'insert' END AS action FROM r")
+def _(spark, sf):
+    last = Y.replayed(Y.incoming(_deltas(spark, sf), "dev0", {"dev1": 2000})).where("not is_tombstone")
+    local = last.where("seq % 3 < 2").withColumn("created_by", F.when(F.col("seq") % 3 == 0, F.col("created_by")).otherwise(F.lit("me")))
+    return Y.merge_actions(last, local).select("record_id", "action")
+
+
+@add("sync_sealed", f"WITH {DEV}, d AS (SELECT *, (SELECT max(seq) FROM dev WHERE device = 1) AS top FROM dev WHERE device = 1) SELECT 'dev1' AS device_id, max(top) AS to_cursor, count(*) AS n, sum(seq)::BIGINT AS total, count(*) FILTER (gone) AS tombstones FROM d")
+def _(spark, sf):
+    to, key = scratch(spark), crypto.namespace_key(b"master", "events")
+    Y.push(A.device_log(spark, sf, 1), to, "dev1", "events", key)
+    rows = Y.deltas(spark, to, "events", key).groupBy("device_id", "to_cursor")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total"), F.count_if("is_tombstone").alias("tombstones")).withColumn("to_cursor", F.col("to_cursor").cast("bigint"))
+
+
+@add("sync_push_twice", f"WITH {DEV}, n AS (SELECT max(seq) AS top, count(*) FILTER (gone) AS gone FROM dev WHERE device = 0) SELECT top AS first_push, 0 AS left_to_push, gone AS pushed_tombstones FROM n")
+def _(spark, sf):
+    to, log = scratch(spark), A.device_log(spark, sf, 0)
+    log = log.withColumn("record_id", F.concat("record_id", F.lit("."), "seq"))
+    none = spark.createDataFrame([], "record_id string")
+    cursor = Y.push(Y.pending(log, "events", "events/main", 0, none), to, "dev0", "events")
+    pushed = Y.deltas(spark, to, "events").where("is_tombstone").select("record_id")
+    both = Y.pushed_tombstones(F.array().cast("array<string>"), F.collect_set("record_id"))
+    left = Y.status(log, "events", "events/main", cursor, pushed).first()[0]
+    return pushed.agg(F.size(both).cast("bigint").alias("pushed_tombstones")).select(F.lit(cursor).cast("bigint").alias("first_push"), F.lit(left).cast("int").alias("left_to_push"), "pushed_tombstones")
+
+
+@add("pull_stream", f"WITH {REPLAY}{LOCAL}, r AS (SELECT * FROM last WHERE rn = 1) SELECT coalesce(r.record_id, l.record_id) AS record_id, CASE WHEN r.record_id IS NULL THEN l.created_at_ms WHEN l.record_id IS NULL OR r.created_at_ms >= l.created_at_ms THEN r.created_at_ms ELSE l.created_at_ms END AS created_at_ms FROM r FULL JOIN local l ON r.record_id = l.record_id WHERE r.record_id IS NULL OR NOT r.gone")
+def _(spark, sf):
+    to = scratch(spark)
+    rows = _deltas(spark, sf).where("not (device_id = 'dev1' and to_cursor <= 2000)")
+    rows.write.parquet(f"{to}/deltas")
+    base = _local(spark, sf)
+    T.pull_stream(spark, f"{to}/deltas", rows.schema, "dev0", to, base).awaitTermination()
+    return T.pulled(spark, to, base).select(_OUT)
+
+
+@add("pull_stream_again", f"WITH {DEV} SELECT record_id, max(seq) AS seq FROM dev WHERE device = 1 AND NOT gone AND seq % 1000 >= 500 GROUP BY 1")
+def _(spark, sf):
+    """Deltas that come in two runs of the stream, the first ones again in the second: cursors keep them out."""
+    to = scratch(spark)
+    rows = _deltas(spark, sf).where("device_id = 'dev1' and not is_tombstone and seq % 1000 >= 500").withColumn("data", F.col("seq").cast("string"))
+    half = rows.agg(F.max("to_cursor")).first()[0] // 2000 * 1000
+    none = rows.limit(0)
+    for part in (rows.where(F.col("to_cursor") <= half), rows.withColumn("data", F.when(F.col("to_cursor") <= half, F.lit("-1")).otherwise(F.col("data")))):
+        part.write.mode("append").parquet(f"{to}/deltas")
+        T.pull_stream(spark, f"{to}/deltas", rows.schema, "dev0", to, none).awaitTermination()
+    return T.pulled(spark, to, none).select("record_id", F.col("data").cast("bigint").alias("seq"))
+
+
 _actions("last_writer", "r.created_at_ms >= l.created_at_ms")
 _actions("creator", "r.created_by = l.created_by AND r.created_at_ms >= l.created_at_ms")
 
@@ -587,55 +738,165 @@ def _(spark, sf):
 # -- access -----------------------------------------------------------------------------------------
 
 
-@add("access_filter", f"""WITH {EV} SELECT 'events' AS namespace, count(*) AS n FROM ev UNION ALL SELECT 'conversations', count(*) FROM conversations""")
-def _(spark, sf):
+def _rights(spark, sf):
     cut = lambda d: d.select("record_id", "namespace")
     every = cut(A.events(spark, sf)).unionByName(cut(A.orders(spark, sf))).unionByName(cut(A.conversations(spark, sf)))
     spaces = spark.createDataFrame([("events", "ann"), ("orders", "bob"), ("conversations", "cid")], "id string, owner string")
-    consents = spark.createDataFrame([("CrossNamespaceRead", "ann", "me", "events", NOW + 1), ("CrossNamespaceRead", "bob", "me", None, NOW - 1), ("CrossNamespaceRead", "ann", "me", "orders", None)], "action string, consenter string, target string, namespace string, expires_at_ms bigint")
-    grants = spark.createDataFrame([("cid", "me", ["ReadNamespace"], [], False, None, 5, 1), ("bob", "me", ["WriteNamespace"], [], False, None, None, 0)], "delegator string, delegate string, scopes array<string>, namespaces array<string>, revoked boolean, expires_at_ms bigint, max_queries bigint, queries_used bigint")
-    return readable(every, spaces, consents, grants, "me", NOW).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    consents = spark.createDataFrame([("CrossNamespaceRead", "ann", "me", "events", NOW + 1), ("CrossNamespaceRead", "bob", "me", None, NOW - 1), ("CrossNamespaceRead", "ann", "me", "orders", None), ("GrantWriteAccess", "cid", "me", None, None)], "action string, consenter string, target string, namespace string, expires_at_ms bigint")
+    grants = spark.createDataFrame([("cid", "me", ["ReadNamespace"], [], False, None, 5, 1), ("bob", "me", ["WriteNamespace"], [], False, None, None, 0), ("ann", "me", ["Full"], ["events"], True, None, None, 0)], "delegator string, delegate string, scopes array<string>, namespaces array<string>, revoked boolean, expires_at_ms bigint, max_queries bigint, queries_used bigint")
+    return every, spaces, consents, grants
 
 
-# -- streams: run to the end of what is there ----------------------------------------------------------
+@add("access_filter", f"""WITH {EV} SELECT 'events' AS namespace, count(*) AS n FROM ev UNION ALL SELECT 'conversations', count(*) FROM conversations""")
+def _(spark, sf):
+    return readable(*_rights(spark, sf), "me", NOW).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("access_write", "SELECT 'orders' AS namespace, count(*) AS n FROM orders UNION ALL SELECT 'conversations', count(*) FROM conversations")
+def _(spark, sf):
+    return writable(*_rights(spark, sf), "me", NOW).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("access_across", f"WITH {EV}, u AS (SELECT 'e' AS kind, count(*) AS n FROM ev UNION ALL SELECT 'o', count(*) FROM orders) SELECT 'both' AS asked, true AS allowed, sum(n)::BIGINT AS n FROM u UNION ALL SELECT 'spent', false, 0 UNION ALL SELECT 'third', false, 0 UNION ALL SELECT 'revoked', false, 0")
+def _(spark, sf):
+    """A delegation of the owner of both, for two queries; then it is spent, does not reach a third namespace, or is revoked."""
+    a = AccessControl({"events": "ann", "orders": "ann", "conversations": "cid"})
+    a.add_delegation(Delegation("d", "ann", "me", ["CrossNamespaceQuery"], ["events", "orders"], max_queries=2))
+    a.add_consent(Consent("CrossNamespaceRead", "ann", "me", None, NOW - 1))
+    a.cleanup(NOW)
+    cut = lambda d: d.select("record_id", "schema", "namespace", "created_by", "created_at_ms", "data", "previous_version", "sig")
+    every = cut(A.events(spark, sf)).unionByName(cut(A.orders(spark, sf)))
+    asked = {"third": a.check_across("me", ["events", "conversations"], NOW), "both": a.check_across("me", ["events", "orders"], NOW) and a.check_across("me", ["orders", "events"], NOW), "spent": a.check_across("me", ["events", "orders"], NOW)}
+    a.add_delegation(Delegation("r", "ann", "me", ["Full"]))
+    a.revoke("r")
+    asked["revoked"] = a.check_across("me", ["events"], NOW) or a.check_read("me", "events", NOW)
+    rows = [every.where(F.lit(ok)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("asked"), F.lit(ok).alias("allowed"), "n") for k, ok in asked.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+# -- files ---------------------------------------------------------------------------------------------
+
+
+@add("markdown_ingest", """SELECT 'memory.project-' || item_id % 3 AS namespace, 'memory.project-' || item_id % 3 || '.file' AS schema, 'memory.project-' || item_id % 3 || '/main' AS branch, CASE WHEN item_id % 2 = 0 THEN 'user' ELSE 'note' END AS type, CASE WHEN item_id % 2 = 0 THEN 'item ' || item_id END AS description, text AS body, 'm' || item_id || '.md' AS name FROM benchmark""")
+def _(spark, sf):
+    """One memory file for each row of ``benchmark``, a small table of passages."""
+    to = scratch(spark)
+    store = B.BlobStore(spark, to)
+    for r in A.read(spark, sf, "benchmark").collect():
+        head = f"---\ntype: user\ndescription: 'item {r['item_id']}'\n---\n" if r["item_id"] % 2 == 0 else ""
+        store.put(f"project-{r['item_id'] % 3}/memory/m{r['item_id']}.md", (head + r["text"]).encode())
+    store.put("project-0/memory/MEMORY.md", b"an index")
+    rows = B.markdown_memories(spark, to, "ann").withColumn("d", F.from_json("data", "type string, description string, body string, source_path string"))
+    return rows.select("namespace", "schema", "branch", "d.type", "d.description", "d.body", F.element_at(F.split("d.source_path", "/"), -1).alias("name"))
+
+
+@add("ingest_totals", f"WITH {EV} SELECT 'events' AS namespace, count(*) AS files, count(*) FILTER (seq % 4 <> 0) AS added, count(*) FILTER (seq % 4 = 0) AS skipped, sum(strlen(type) + 2)::BIGINT AS bytes FROM ev")
+def _(spark, sf):
+    e = A.events(spark, sf).withColumn("data", F.to_json(F.struct("type"))).withColumn("data", F.concat(F.lit('"'), "type", F.lit('"')))
+    return B.ingest_totals(e, e.where("seq % 4 = 0"))
+
 
+@add("blob_list", "SELECT 'ns/deltas/dev/' || item_id || '.delta' AS key, strlen(text) AS size FROM benchmark WHERE item_id % 2 = 0")
+def _(spark, sf):
+    to = scratch(spark)
+    store = B.BlobStore(spark, to)
+    for r in A.read(spark, sf, "benchmark").collect():
+        store.put(f"{'ns' if r['item_id'] % 2 == 0 else 'other'}/deltas/dev/{r['item_id']}.delta", r["text"].encode())
+    store.put("ns/deltas/dev/gone.delta", b"x")
+    store.delete("ns/deltas/dev/gone.delta")
+    return B.blobs(spark, to, "ns/deltas/").select("key", F.length("content").cast("bigint").alias("size"))
+
+
+@add("wal_replay", "SELECT * FROM (VALUES (1, 'a,b'), (3, 'c')) AS t(tx_id, entries)")
+def _(spark, sf):
+    to = scratch(spark)
+    B.append_wal(spark, to, ["a", "b"])
+    B.append_wal(spark, to, ["lost"], committed=False)
+    B.append_wal(spark, to, ["c"])
+    return B.read_wal(spark, to).select(F.col("tx_id").cast("int").alias("tx_id"), F.array_join("entries", ",").alias("entries"))
+
+
+@add("results_as_json", f"WITH {EV} SELECT record_id, type, value FROM ev")
+def _(spark, sf):
+    to = scratch(spark)
+    B.json_sink(A.events(spark, sf).select("record_id", "type", "value"), to)
+    return spark.read.schema("record_id string, type string, value double").json(to)
 
-def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="lorekeep-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    import uuid
 
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+@add("device_state", "SELECT 'dev0' AS device_id, 7 AS last_push_cursor, 9 AS dev1_cursor, 'x,y' AS tombstones, 0 AS fresh_cursor")
+def _(spark, sf):
+    to = scratch(spark)
+    store = B.BlobStore(spark, to)
+    store.put("manifest.json", B.state_json(B.Manifest("dev0", "events", 7, {"dev1": 9}, ["x", "y"])))
+    m, fresh = B.state_of(B.Manifest, store.get("manifest.json")), B.state_of(B.State, store.get("none.json"))
+    return spark.createDataFrame([(m.device_id, m.last_push_cursor, m.pull_cursors["dev1"], ",".join(m.pushed_tombstones), fresh.last_cursor)], "device_id string, last_push_cursor int, dev1_cursor int, tombstones string, fresh_cursor int")
+
+
+# -- streams: run to the end of what is there ----------------------------------------------------------
 
 
 @add("tail_stream", f"WITH {LOG} SELECT record_id, seq FROM log WHERE NOT gone")
 def _(spark, sf):
-    to = _folder(spark)
+    to = scratch(spark)
     A.branch_log(spark, sf).write.parquet(f"{to}/log")
     q = T.tail_stream(spark, f"{to}/log", "events").select("record_id", "seq").writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{to}/out")
 
 
-@add("digest_stream", f"WITH {EPI} SELECT topic, support FROM facts")
+@add("tail_stream_from_seq", f"WITH {LOG} SELECT record_id, seq FROM log WHERE NOT gone AND seq > 700 AND branch = 'events/dev'")
 def _(spark, sf):
-    to = _folder(spark)
-    log = A.episodes(spark, sf).selectExpr("record_id", "schema", "namespace", "created_by", "created_at_ms", "data", "cast(null as string) previous_version", "cast(null as string) sig", "'events/main' branch", "'put' op", "seq", "cast(null as bigint) origin_seq", "false is_tombstone", "true tail_visible")
-    log.write.parquet(f"{to}/log")
-    T.digest_stream(T.tail_stream(spark, f"{to}/log", "events"), f"{to}/facts", f"{to}/cp", "facts", "digester", lambda: NOW).awaitTermination()
+    to = scratch(spark)
+    A.branch_log(spark, sf).write.parquet(f"{to}/log")
+    q = T.tail_stream(spark, f"{to}/log", "events", "events/dev", after_seq=700).select("record_id", "seq").writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{to}/out")
+
+
+def _episode_log(spark, sf):
+    """Episodes as a store's log, numbered from 1."""
+    return A.episodes(spark, sf).selectExpr("record_id", "schema", "namespace", "created_by", "created_at_ms", "data", "cast(null as string) previous_version", "cast(null as string) sig", "'events/main' branch", "'put' op", "seq + 1 as seq", "cast(null as bigint) origin_seq", "false is_tombstone", "true tail_visible")
+
+
+def _digested(spark, sf, config: D.DigestConfig, clock) -> DataFrame:
+    to = scratch(spark)
+    _episode_log(spark, sf).write.parquet(f"{to}/log")
+    T.digest_stream(T.tail_stream(spark, f"{to}/log", "events"), to, "facts", "digester", clock, config).awaitTermination()
     facts = F.from_json("data", "topic string, derived_from array<string>").alias("f")
-    return spark.read.parquet(f"{to}/facts").select(facts).select("f.topic", F.size("f.derived_from").cast("bigint").alias("support"))
+    return spark.read.parquet(f"{to}/facts").select(facts, F.col("branch").startswith("facts/main").alias("merged")).select("f.topic", F.size("f.derived_from").cast("bigint").alias("support"), "merged")
+
+
+@add("digest_stream", f"WITH {EPI}, b AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // (SELECT ceil(count(*) / 4)::BIGINT FROM epi) AS batch FROM epi) SELECT topic, count(*) AS support, count(*) >= 6 AS merged FROM b GROUP BY topic, batch")
+def _(spark, sf):
+    """A quarter of the episodes at a time, until none wait."""
+    quarter = -(-A.episodes(spark, sf).count() // 4)
+    return _digested(spark, sf, D.DigestConfig(most_episodes=quarter, prompt_chars=1 << 30, gates=D.Gates(0, 1)), lambda: NOW)
+
+
+@add("digest_stream_gates", f"WITH {EPI}, b AS (SELECT * FROM epi ORDER BY seq LIMIT 200) SELECT topic, count(*) AS support, 0.5 + least(count(*), 10) / 10.0 * 0.45 >= 0.75 AS merged FROM b GROUP BY topic")
+def _(spark, sf):
+    """One pass of the usual 200 episodes; then the cool-down keeps the gate shut."""
+    return _digested(spark, sf, D.DigestConfig(), lambda: NOW)
+
+
+@add("digest_stream_shut", "SELECT 'x' AS topic, 0::BIGINT AS support, true AS merged WHERE false")
+def _(spark, sf):
+    """Too few episodes for a pass: no facts yet."""
+    n = A.episodes(spark, sf).count()
+    to = scratch(spark)
+    _episode_log(spark, sf).write.parquet(f"{to}/log")
+    T.digest_stream(T.tail_stream(spark, f"{to}/log", "events"), to, "facts", "digester", lambda: NOW, D.DigestConfig(most_episodes=n, gates=D.Gates(0, n + 1))).awaitTermination()
+    rows = B.BlobStore(spark, to).list("facts/")
+    return spark.createDataFrame([("facts", len(rows), True)] * bool(rows), "topic string, support bigint, merged boolean")
 
 
-@add("reinforce_stream", f"WITH {META} SELECT record_id, reinforce_count FROM meta")
+@add("reinforce_stream", f"WITH {META} SELECT record_id, reinforce_count, round(score, 3) AS score, last_ms AS last_reinforced_at_ms FROM meta")
 def _(spark, sf):
-    to = _folder(spark)
+    to = scratch(spark)
     A.reinforcements(spark, sf).write.parquet(f"{to}/log")
     stream = spark.readStream.schema("record_id string, delta double, at_ms bigint, seq bigint").parquet(f"{to}/log")
     T.reinforcement_stream(stream, f"{to}/cp", lambda df, n: df.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{to}/out")).awaitTermination()
-    return S.latest(spark.read.parquet(f"{to}/out"), ["record_id"], "n").select("record_id", "reinforce_count")
+    return S.latest(spark.read.parquet(f"{to}/out"), ["record_id"], "n").select("record_id", "reinforce_count", F.round("score", 3).alias("score"), "last_reinforced_at_ms")
 
 
 # -- what callers see ----------------------------------------------------------------------------------

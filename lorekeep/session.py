@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +21,7 @@ SETTINGS = {
 }
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def session(name: str = "lorekeep", **settings: str) -> SparkSession:
@@ -44,3 +47,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(to)
     _shipped.add(app)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; only where Spark runs in this very process may that be unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _scratch:
+            _scratch.append(tempfile.mkdtemp(prefix="lorekeep-"))
+        top = _scratch[0]
+    return f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -211,7 +211,8 @@ def test_digest_parts(spark):
     e = records(spark, rows).selectExpr("*", "created_at_ms as seq")
     got = {r["topic"]: r for r in digest.digest(e).collect()}
     assert got["w"]["statement"] == "é" * 120 + "…" and got["s"]["statement"] == "only rule" and got["q"]["statement"].startswith("1 episodes observed")
-    assert abs(got["w"]["confidence"] - 0.59) < 1e-9 and got["w"]["derived_from"] == ["r0", "r1"]
+    assert abs(got["w"]["confidence"] - 0.59) < 1e-9 and got["w"]["support"] == 2
+    assert {r["topic"]: r["derived_from"] for r in digest.with_sources(digest.digest(e), e).collect()}["w"] == ["r0", "r1"]
     g = digest.Gates()
     assert g.closed(0, 5, 0) is None and g.closed(1, 5, 2) == "cool-down" and g.closed(0, 4, 0) == "too few episodes" and g.closed(1, 5, 1 + g.cool_down_ms) is None
     assert digest.parse_facts('{"facts": [{"statement": "s", "topic": "t", "confidence": 7, "derived_from": ["a"]}]}')[0]["confidence"] == 1.0
