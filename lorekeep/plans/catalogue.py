@@ -458,18 +458,38 @@ add("recall_deep", "WITH " + DEEP.format(10))(lambda spark, sf: _deep(spark, sf,
 add("recall_oversample", "WITH " + DEEP.format(40))(lambda spark, sf: _deep(spark, sf, 4))
 
 
-@add("mock_embed")
+#: Time at which documents, one a minute from 1970 on, are a week old at most.
+DOC_NOW = WEEK
+
+
+def _embedded(rows: str, dim: int) -> str:
+    """SQL of mock embeddings ``e`` for ``rows``, a query of ``id, text``: the same hash and generator, in 128-bit integers."""
+    return f"""hexed AS (SELECT id, hex(encode(text)) AS x FROM ({rows})),
+hashed AS (SELECT id, list_reduce([14695981039346656037::HUGEINT] || list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::HUGEINT), lambda h, y: (xor(h, y) * 1099511628211) % 18446744073709551616) AS h FROM hexed),
+states AS (SELECT id, list_reduce([[h | 1::HUGEINT]] || list_transform(range(0, {dim}), lambda i: [0::HUGEINT]), lambda a, y: a || [(a[-1] * 6364136223846793005 + 1442695040888963407) % 18446744073709551616]) AS st FROM hashed),
+raw AS (SELECT id, list_transform(st[2:], lambda z: (z // 4294967296)::FLOAT / 4294967295::FLOAT * 2::FLOAT - 1::FLOAT) AS v FROM states),
+emb AS (SELECT id, list_transform(v, lambda z: z::DOUBLE / sqrt(list_sum(list_transform(v, lambda q: q::DOUBLE * q::DOUBLE)))) AS e FROM raw)"""
+
+
+_TEXTS = "SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1, 'the and attion'"
+_SIMS = f"{META}, {_embedded(_TEXTS, 64)}, sims AS (SELECT a.id, list_inner_product(a.e, q.e) AS sim FROM emb a, emb q WHERE q.id = -1 AND a.id >= 0)"
+_BOOST = "(1 + least(greatest(coalesce(score, 0), 0), 10))"
+
+
+@add("mock_embed", f"WITH {_embedded('SELECT doc_id AS id, text FROM documents', 64)} SELECT id AS doc_id, len(list_filter(e, lambda z: z > 0))::INTEGER AS n_positive, list_position(e, list_max(e))::INTEGER AS top, 64 AS dim, 1.0 AS norm FROM emb")
 def _(spark, sf):
-    d = A.read(spark, sf, "documents")
-    return d.select("doc_id", C.mock_embed(64)(F.col("text")).alias("embedding"))
+    e = A.read(spark, sf, "documents").select("doc_id", C.mock_embed(64)(F.col("text")).alias("e"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return e.select("doc_id", F.size(F.filter("e", lambda x: x > 0)).alias("n_positive"), F.array_position("e", F.array_max("e")).cast("int").alias("top"), F.size("e").alias("dim"), F.round(norm, 4).alias("norm"))
 
 
-@add("embed_and_search")
+@add("embed_and_search", f"""WITH {_SIMS}, hits AS (SELECT * FROM sims ORDER BY sim DESC LIMIT 10)
+SELECT 'd' || id AS record_id, round(sim * exp(-0.6931471805599453 * ({DOC_NOW} - id * 60000) / {float(WEEK)}) * {_BOOST}, 4) AS final_score FROM hits LEFT JOIN meta ON user_id = id""")
 def _(spark, sf):
     d = A.documents(spark, sf)
     index = d.select("namespace", "record_id", C.mock_embed(64)(F.get_json_object("data", "$.body")).alias("embedding"))
-    out = R.embed_and_search(d, index, M.fold(A.reinforcements(spark, sf, "d")), "the and attion", lambda t: C.mock_embedding(t, 64).tolist(), 10, NOW, WEEK)
-    return out.select("record_id", F.round("final_score", 6).alias("final_score"))
+    out = R.embed_and_search(d, index, M.fold(A.reinforcements(spark, sf, "d")), "the and attion", lambda t: C.mock_embedding(t, 64).tolist(), 10, DOC_NOW, WEEK)
+    return out.select("record_id", F.round("final_score", 4).alias("final_score"))
 
 
 # -- text ------------------------------------------------------------------------------------
@@ -486,11 +506,17 @@ def _(spark, sf):
     return out.select("record_id", F.round("keyword_score", 6).alias("keyword_score"), F.round("final_score", 6).alias("final_score"), "strategy")
 
 
-@add("hybrid_recall")
+_HYBRID = X.tokens_of("the and attion")
+_HYBRID_KW = "(" + " + ".join(f"contains(lower(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) ELSE '' END || ' ' || text), '{t}')::INTEGER" for t in _HYBRID) + f") / {float(len(_HYBRID))}"
+
+
+@add("hybrid_recall", f"""WITH {_SIMS}, hits AS (SELECT * FROM sims ORDER BY sim DESC LIMIT 40), f AS (SELECT *, sim * {_BOOST} AS f FROM hits JOIN documents ON doc_id = id LEFT JOIN meta ON user_id = id WHERE source IN ('src0', 'src1', 'src2'))
+SELECT 'd' || id AS record_id, source AS type, round(f, 4) AS final_score, round(sim, 4) AS similarity, round({_HYBRID_KW}, 6) AS keyword_score, 'vector+decay' AS strategy FROM f ORDER BY f DESC LIMIT 10""")
 def _(spark, sf):
     d = A.documents(spark, sf)
     index = d.select("namespace", "record_id", C.mock_embed(64)(F.get_json_object("data", "$.body")).alias("embedding"))
-    return R.find_relevant(d, M.fold(A.reinforcements(spark, sf, "d")), "documents", NOW, WEEK, "the and attion", ["src0", "src1", "src2"], 10, index, lambda t: C.mock_embedding(t, 64).tolist())
+    out = R.find_relevant(d, M.fold(A.reinforcements(spark, sf, "d")), "documents", DOC_NOW, WEEK, "the and attion", ["src0", "src1", "src2"], 10, index, lambda t: C.mock_embedding(t, 64).tolist())
+    return out.select("record_id", "type", F.round("final_score", 4).alias("final_score"), F.round("similarity", 4).alias("similarity"), F.round("keyword_score", 6).alias("keyword_score"), "strategy")
 
 
 @add("token_overlap", f"WITH d AS (SELECT doc_id, lower(text) AS hay FROM documents) SELECT doc_id, round({_KW}, 6) AS score FROM d")
@@ -925,7 +951,56 @@ def _(spark, sf):
     return A.read(spark, sf, "documents").select("doc_id", E.request_error(F.col("text"), texts, F.when(case == 2, "other")).alias("error"))
 
 
-@add("ingest_text")
+@add("ingest_text", f"WITH {_embedded('SELECT doc_id AS id, text FROM documents', 32)} SELECT 'docs' AS namespace, 'd' || id AS record_id, len(list_filter(e, lambda z: z > 0))::INTEGER AS n_positive, 32 AS dim FROM emb")
 def _(spark, sf):
+    """Embedded in batches, written as an index and read again."""
     rows = A.read(spark, sf, "documents").select(F.lit("docs").alias("namespace"), F.concat(F.lit("d"), F.col("doc_id")).alias("record_id"), "text")
-    return V.index_rows(E.ingest_text(rows, E.MockEmbedder(32)), 32)
+    to = scratch(spark)
+    V.save_index(V.index_rows(E.ingest_text(rows, E.MockEmbedder(32)), 32), to, 1)
+    return V.open_index(spark, to).select("namespace", "record_id", F.size(F.filter("embedding", lambda x: x > 0)).alias("n_positive"), F.size("embedding").alias("dim"))
+
+
+@add("metadata_json", f"""WITH {META} SELECT record_id, '{{"record_id":"' || record_id || '","reinforce_count":' || reinforce_count || ',"archived_at_ms":null}}' AS json FROM meta""")
+def _(spark, sf):
+    m = M.with_decay(M.fold(A.reinforcements(spark, sf)), NOW, WEEK).withColumn("json", J.metadata_json())
+    some = F.from_json("json", "record_id string, reinforce_count bigint, archived_at_ms bigint")
+    return m.select("record_id", F.to_json(some, {"ignoreNullFields": "false"}).alias("json"))
+
+
+@add("namespace_listing", "SELECT * FROM (VALUES ('a', false), ('b', true), ('c', true)) AS t(id, is_owner)")
+def _(spark, sf):
+    spaces = spark.createDataFrame([("b", "me", 2), ("a", "you", 1), ("c", "me", 2)], "id string, owner string, created_at_ms bigint")
+    return J.namespace_listing(spaces, "me").select("id", "is_owner")
+
+
+@add("delta_keys", f"WITH {DEV} SELECT DISTINCT 'events/deltas/dev' || device || '/' || (seq // 1000 + 1) * 1000 || '.delta' AS key FROM dev")
+def _(spark, sf):
+    return _deltas(spark, sf).select(X.delta_key(F.col("namespace"), F.col("device_id"), F.col("to_cursor")).alias("key")).distinct()
+
+
+@add("truncate_strings", f"""WITH {EV} SELECT record_id, '{{"a":["' || CASE WHEN length(type) > 5 THEN substr(type, 1, 5) || '…' ELSE type END || '",' || seq || '],"b":{{"c":"x"}}}}' AS cut FROM ev""")
+def _(spark, sf):
+    e = A.events(spark, sf)
+    text = F.concat(F.lit('{"a": ["'), "type", F.lit('", '), F.col("seq"), F.lit('], "b": {"c": "x"}}'))
+    return e.select("record_id", C.truncate_strings(5)(text).alias("cut"))
+
+
+@add("signatures", f"WITH {EV} SELECT record_id, seq % 5 <> 0 AS ok FROM ev")
+def _(spark, sf):
+    """Signed ids, every fifth changed afterwards."""
+    signer = crypto.HmacSigner(crypto.derive_key(b"master", "sign"))
+    e = A.events(spark, sf).withColumn("sig", crypto.signature(F.col("record_id"), signer))
+    said = F.when(F.col("seq") % 5 == 0, F.concat("record_id", F.lit("!"))).otherwise(F.col("record_id"))
+    return e.select("record_id", crypto.signature_ok(said, F.col("sig"), signer).alias("ok"))
+
+
+@add("facts_of_an_answer", "SELECT * FROM (VALUES ('t1', 's1', 1.0, 2), ('t2', 's2', 0.25, 1)) AS t(topic, statement, confidence, sources)")
+def _(spark, sf):
+    answer = '{"facts": [{"topic": "t1", "statement": "s1", "confidence": 7, "derived_from": ["a", "b"]}, {"topic": "t2", "statement": "s2", "confidence": 0.25, "derived_from": ["c"]}]}'
+    return spark.createDataFrame([(f["topic"], f["statement"], f["confidence"], len(f["derived_from"])) for f in D.parse_facts(answer)], "topic string, statement string, confidence double, sources int")
+
+
+@add("blake3_vectors", "SELECT * FROM (VALUES ('', 'af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262'), ('abc', '6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85')) AS t(text, hash)")
+def _(spark, sf):
+    """The published test vectors, through the column function."""
+    return spark.createDataFrame([("",), ("abc",)], "text string").select("text", C.content_hash(F.col("text"), "blake3").alias("hash"))
