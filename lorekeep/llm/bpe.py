@@ -140,7 +140,7 @@ class WordBpe:
         ids: list[str] = []
         decoded: list[str] = []
         n = at = 0
-        marks = list(self.special_pattern.finditer(text)) if self.special_pattern and "<|" in text else []
+        marks = list(self.special_pattern.finditer(text)) if self.special_pattern else []
         for mark in [*marks, None]:
             words = self.words(text[at : mark.start() if mark else len(text)])
             cached = self.cache
@@ -179,8 +179,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     ``doc_id, n_tokens`` and, as asked, ``token_ids`` (array of int),
     ``decoded`` (string) and the two digests.  A null or empty text has no
-    tokens.  Repeated rows and repeated or null ids each keep their row; other
-    columns are left out, so none can clash.  ``vocabulary`` is a path that
+    tokens.  Repeated rows and repeated or null ids each keep their row; long
+    texts are encoded in whole, one at a time; other columns are left out, so
+    none can clash.  ``vocabulary`` is a path that
     every worker can open.
     """
     fields = [("doc_id", "long"), ("n_tokens", "long")] + [("token_ids", "array<int>")] * ids + [("decoded", "string")] * decoded + [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests

@@ -76,7 +76,15 @@ def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 _LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝ" "АВЕКМНОРСТУХІЈЅ" "αινορτυχ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqw" "ABEKMHOPCTYXIJS" "aivoptux" "ABEZHIKMNOPTYX"))
 _INVISIBLE = "­​‌‍⁠﻿"
 _PUNCTUATION = {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "﹒": ".", " ": " ", " ": " ", " ": " ", " ": " ", "﹫": "@"}
-_DIGIT_NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# The digits from zero to nine in English, German, French and Spanish.
+_DIGITS_EN = "zero one two three four five six seven eight nine"
+_DIGITS_DE = "null eins zwei drei vier fünf sechs sieben acht neun"
+_DIGITS_FR = "zéro un deux trois quatre cinq six sept huit neuf"
+_DIGITS_ES = "cero uno dos tres cuatro cinco seis siete ocho nueve"
+_DIGIT_NAMES = {name: str(d) for line in (_DIGITS_ES, _DIGITS_FR, _DIGITS_DE, _DIGITS_EN) for d, name in enumerate(line.split())} | {"oh": "0"}
+_TIMES = {"double": 2, "triple": 3}
+# Domains that end an address written with underscores or spaced dots.
+_DOMAINS = "com org net edu gov mil info biz io co uk de fr es eu us ca ch at"
 _FULL_WIDTH = range(0xFF01, 0xFF5F)
 
 
@@ -153,31 +161,39 @@ def plain_glyphs(text: Mapped) -> Mapped:
 
 
 _NAME = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
+_MANY = rf"(?:(?:{'|'.join(_TIMES)})[\x20-])?"
 # Words end where letters do, so a run stops before "onetime" and stands without it.
-_PART = rf"(?:(?:{_NAME})(?![A-Za-z0-9])|[0-9]++(?![A-Za-z]))"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9]){_PART}(?:[\x20()-]{{1,3}}{_PART})++", re.IGNORECASE)
-_SPELLED_TRIGGER = re.compile(rf"(?<![A-Za-z])(?:{_NAME})[\x20()-]{{1,3}}(?:{_NAME}|[0-9])|[0-9][\x20()-]{{1,3}}(?:{_NAME})(?![A-Za-z0-9])", re.IGNORECASE)
-_PLUS = re.compile(r"(?<![A-Za-z])plus[\x20]+(?=\+?[0-9])", re.IGNORECASE)
+_PART = rf"(?:{_MANY}(?:{_NAME})(?![^\W_])|[0-9]++(?![^\W\d_]))"
+_SPELLED = re.compile(rf"(?<![^\W_]){_PART}(?:[\x20()-]{{1,3}}{_PART})++", re.IGNORECASE)
+_SPELLED_TRIGGER = re.compile(rf"(?<![^\W\d_]){_MANY}(?:{_NAME})[\x20()-]{{1,3}}{_MANY}(?:{_NAME}|[0-9])|[0-9][\x20()-]{{1,3}}{_MANY}(?:{_NAME})(?![^\W_])", re.IGNORECASE)
+_PLUS = re.compile(r"(?<![^\W\d_])(?:plus|más)[\x20]+(?=\+?[0-9])", re.IGNORECASE)
+_WORD = re.compile(r"[^\W\d_]+|[0-9]+")
 
 
 def spelled_digits(text: Mapped) -> Mapped:
     """Spelled digits beside other digits, spelled or not, become figures; "plus" before one becomes +.
 
-    Whether the run is an identifier is left to the patterns.
+    "double" and "triple" repeat the digit they stand before.  Whether the run
+    is an identifier is left to the patterns.
     """
     if not _SPELLED_TRIGGER.search(text.text):
         return text
     edits = []
     for run in _SPELLED.finditer(text.text):
-        parts = list(re.finditer(r"[A-Za-z]+|[0-9]+", run[0]))
+        parts = list(_WORD.finditer(run[0]))
+        times, begin = 1, -1
         for p, after in zip(parts, [*parts[1:], None]):
+            word = p[0].lower()
+            if word in _TIMES:
+                times, begin = _TIMES[word], run.start() + p.start()
+                continue
             a, b = run.start() + p.start(), run.start() + p.end()
-            spelled = p[0].isalpha()
             # the separator between two spelled digits goes; next to figures it stays
-            if spelled and after is not None and after[0].isalpha():
-                b = run.start() + after.start()
-            if spelled:
-                edits.append((a, b, _DIGIT_NAMES[p[0].lower()]))
+            if word in _DIGIT_NAMES:
+                if after is not None and not after[0].isdecimal():
+                    b = run.start() + after.start()
+                edits.append((a if begin < 0 else begin, b, _DIGIT_NAMES[word] * times))
+            times, begin = 1, -1
     text = text.rewritten(edits)
     return text.rewritten([(*m.span(), "+") for m in _PLUS.finditer(text.text)])
 
@@ -188,9 +204,39 @@ _LABEL = r"[A-Za-z0-9-]++"
 # Chains are taken whole (possessive), whether an address follows or not, so a long one is read once.
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:{_DOT}[A-Za-z0-9_%+-]++)*+(?:(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL})++)?+")
 _DISGUISE_TRIGGER = re.compile(r"(?i)[\[({<]\x20*(?:at|@|dot|\.)\x20*[\])}>]|\x20dot\x20|@\x20")
+_DOMAIN_END = rf"(?:{'|'.join(_DOMAINS.split())})(?![A-Za-z0-9_-])"
+# "john_at_example_dot_com", "john-at-example-dot-com" and "john @ example . com"
+_JOINED = re.compile(rf"(?i)(?<![A-Za-z0-9._%+@-])[A-Za-z0-9.%+]+(?:([_-])dot\1[A-Za-z0-9.%+]+)*?(?P<at>([_-])at\3)[A-Za-z0-9]+(?:\3dot\3[A-Za-z0-9]+)*?\3dot\3{_DOMAIN_END}")
+_JOINED_DOT = re.compile(r"(?i)([_-])dot\1")
+_SPACED = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?P<at>\x20*@\x20*)[A-Za-z0-9-]+(?:\x20*\.\x20*[A-Za-z0-9-]+){{0,3}}?\x20*\.\x20*{_DOMAIN_END}")
+_SPACED_DOT = re.compile(r"\x20*\.\x20*")
+# an address of which every character stands by itself
+_SPACED_IP = re.compile(r"(?<![0-9])(?<![0-9.]\x20)[0-9](?:\x20[0-9]){0,2}(?:\x20\.\x20[0-9](?:\x20[0-9]){0,2}){3}(?!\x20?[0-9])")
 _NUMBER_DOT = re.compile(r"(?i)(?<=[0-9])(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+)(?=[0-9])")
 
 
+def spaced_and_joined(text: Mapped) -> Mapped:
+    """Addresses joined by underscores or hyphens, with spaced dots, or spaced out in every character; those of names end in a known domain."""
+    edits = []
+    if re.search(r"(?i)[_-]at[_-]", text.text):
+        for m in _JOINED.finditer(text.text):
+            edits.append((*m.span("at"), "@"))
+            edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _JOINED_DOT.finditer(m[0])]
+    if "@" in text.text:
+        for m in _SPACED.finditer(text.text):
+            dots = [d for d in _SPACED_DOT.finditer(m[0]) if d[0] != "."]
+            if dots:
+                edits.append((*m.span("at"), "@"))
+                edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in dots]
+    edits += [(*m.span(), m[0].replace(" ", "")) for m in _SPACED_IP.finditer(text.text)] if " . " in text.text else []
+    last, apart = 0, []
+    for a, b, new in sorted(edits):
+        if a >= last:
+            apart.append((a, b, new))
+            last = b
+    return text.rewritten(apart)
+
+
 def at_and_dot(text: Mapped) -> Mapped:
     """"name [at] host (dot) org" and "name at host dot org" to an address; "10 dot 0 dot 0 dot 1" to figures.
 
@@ -198,6 +244,7 @@ def at_and_dot(text: Mapped) -> Mapped:
     address, so "at example.com" in prose stays.  A spaced "@" counts if the
     last label has a letter, so "2 @ 3.50" stays; so does "hi @some.name".
     """
+    text = spaced_and_joined(text)
     if not _DISGUISE_TRIGGER.search(text.text):
         return text
     edits = []

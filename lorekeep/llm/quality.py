@@ -50,6 +50,10 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id`` and the counts and ratios that rules refer to, one row per input row.
 
     Null and empty texts have no words, lines or symbols; their ratios are 0.
+    Repeated rows are measured each.  Long texts are measured in whole, a text
+    at a time, in memory of some 30 bytes a word.  Windows are told apart by
+    64-bit hashes: in a text of a million words two different ones are taken
+    for equal with probability 3e-8.  Other columns are left out.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
