@@ -13,8 +13,9 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, StringType
 
 from ..functions.jsonval import Field
 
@@ -57,10 +58,26 @@ class Fields:
     #: Nulls may stand for false: nothing above negates.
     positive: bool = False
 
+    @classmethod
+    def of(cls, records: DataFrame) -> Fields:
+        """The fields that ``records`` has as columns of their own (see ``promoted``); others are read from the payload."""
+        found = {f.metadata[PROMOTED]: f for f in records.schema.fields if PROMOTED in f.metadata}
+        kinds = {StringType: str, BooleanType: bool, DoubleType: float, FloatType: float}
+        return cls(promoted={k: f.name for k, f in found.items()}, kinds={k: kinds.get(type(f.dataType), int) for k, f in found.items()})
+
     def get(self, name: str) -> Field:
         return Field(F.col(self.data), name, self.variant)
 
 
+#: Key of a column's metadata: the payload field whose values it holds.
+PROMOTED = "payload_field"
+
+
+def promoted(column: Column, name: str) -> Column:
+    """A column that holds a payload field's values (null: missing), as ``Fields.of`` finds it."""
+    return column.alias(name, metadata={PROMOTED: name})
+
+
 def _kind(v: Json) -> type | None:
     return None if v is None else bool if isinstance(v, bool) else type(v)
 

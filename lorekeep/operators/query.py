@@ -91,8 +91,9 @@ def scoped(records: DataFrame, q: Query) -> DataFrame:
 
 
 def matching(records: DataFrame, q: Query, fields: Fields | None = None) -> DataFrame:
+    """Rows in scope that pass the filter.  ``fields`` defaults to what the columns of ``records`` say."""
     found = scoped(records, q)
-    return found.where(q.filter.where(fields or Fields())) if q.filter is not None else found
+    return found.where(q.filter.where(fields or Fields.of(records))) if q.filter is not None else found
 
 
 def after_cursor(found: DataFrame, q: Query, fields: Fields) -> DataFrame:
@@ -130,7 +131,7 @@ def after_cursor(found: DataFrame, q: Query, fields: Fields) -> DataFrame:
 
 def select_page(records: DataFrame, q: Query, fields: Fields | None = None, extra: int = 0) -> DataFrame:
     """The page as a plan: filter, order, offset and limit (clamped to 1,000)."""
-    fields = fields or Fields()
+    fields = fields or Fields.of(records)
     found = after_cursor(matching(records, q, fields), q, fields).orderBy(*order_by(q.sort, fields))
     if q.offset:
         found = found.offset(q.offset)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.filters import Fields
+from ..operators.filters import Fields, promoted
 
 #: Payload fields of event records that are typed columns as well.
 EVENT_FIELDS = Fields(promoted={"type": "type", "value": "value", "k": "k"}, kinds={"type": str, "value": float, "k": int})
@@ -33,13 +33,14 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events").withColumn("k", F.when(F.col("event_id") % 7 != 0, F.get_json_object("props", "$.k").cast("int")))
     data = F.to_json(F.struct(F.col("event_type").alias("type"), "value", "k"))
     return _record(e, F.concat(F.lit("e"), F.col("event_id")), F.concat(F.lit("events."), F.col("event_type")), "events", F.concat(F.lit("user-"), F.col("user_id")), millis("ts"), data, None,
-                   F.col("event_type").alias("type"), "value", "k", F.col("event_id").alias("seq"), "user_id")
+                   promoted(F.col("event_type"), "type"), promoted(F.col("value"), "value"), promoted(F.col("k"), "k"), F.col("event_id").alias("seq"), "user_id")
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
     data = F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority")))
-    return _record(o, F.concat(F.lit("o"), F.col("o_orderkey")), F.lit("orders.order"), "orders", F.concat(F.lit("cust-"), F.col("o_custkey")), millis("o_orderdate"), data)
+    return _record(o, F.concat(F.lit("o"), F.col("o_orderkey")), F.lit("orders.order"), "orders", F.concat(F.lit("cust-"), F.col("o_custkey")), millis("o_orderdate"), data, None,
+                   promoted(F.col("o_orderstatus"), "status"), promoted(F.col("o_totalprice"), "price"), promoted(F.col("o_orderpriority"), "priority"))
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +60,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     p = read(spark, sf, "part")
-    return _record(p, F.concat(F.lit("p"), F.col("p_partkey")), F.lit("parts.part"), "parts", F.col("p_brand"), F.col("p_partkey"), F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))))
+    return _record(p, F.concat(F.lit("p"), F.col("p_partkey")), F.lit("parts.part"), "parts", F.col("p_brand"), F.col("p_partkey"), F.to_json(F.struct(F.col("p_name").alias("name"), F.col("p_size").alias("size"))), None, promoted(F.col("p_name"), "name"), promoted(F.col("p_size"), "size"))
 
 
 BRANCHES = [("events/main", None), ("events/dev", "events/main"), ("events/exp", "events/dev")]
