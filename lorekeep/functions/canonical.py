@@ -38,7 +38,14 @@ def canonical(value) -> str:
 
 
 def canonical_json(text: Column | str) -> Column:
-    """Canonical form of JSON texts; null for what is not JSON."""
+    """Canonical form of JSON texts; null for what is not JSON.
+
+    Plain ASCII texts without escapes or fractions are parsed and written by
+    Spark, whose order of keys is the same; others, and those that Spark does
+    not parse, go through Python.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    plain = F.to_json(F.try_parse_json(F.when(~text.rlike(r"[^\x20-\x7e\s]|\\|[0-9][.eE]"), text)))
 
     @F.pandas_udf("string")
     def canonical_of(texts: pd.Series) -> pd.Series:
@@ -50,7 +57,7 @@ def canonical_json(text: Column | str) -> Column:
 
         return texts.map(one)
 
-    return canonical_of(text)
+    return F.coalesce(plain, canonical_of(F.when(plain.isNull(), text)))
 
 
 def envelope(schema: Column, namespace: Column, created_by: Column, created_at_ms: Column, data: Column, previous_version: Column) -> Column:
@@ -132,6 +139,8 @@ def blake3(data: bytes) -> str:
 
 
 def _blake3_column(text: Column) -> Column:
+    """Row by row in Python: for checking records of the original, not for writing many."""
+
     @F.pandas_udf("string")
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else blake3(t.encode()))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.canonical import canonical_json, content_hash, envelope
+from ..session import scratch
 
 #: Ancestries are resolved on the driver up to this many branches.
 MOST_BRANCHES = 100_000
@@ -134,15 +135,16 @@ def merge_moves(log: DataFrame, branch: str, parent: str, next_seq: int) -> Data
 S_COLUMNS = [part.split()[0] for part in S.RECORD_LOG.split(", ")]
 
 
-def numbered_rows(rows: DataFrame, *order: str, start: int = 0, slots: int = 256) -> DataFrame:
+def numbered_rows(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """``_n``: consecutive numbers in the given order, without sorting everything in one task.
 
-    Rows are range-partitioned in order; numbers are counted within a
+    Rows are range-partitioned in order and written to the shared folder, so
+    that a lost executor renumbers nothing; numbers are counted within a
     partition and shifted by the rows of those before it.
     """
-    spark = rows.sparkSession
-    placed = rows.repartitionByRange(slots, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() else placed.persist()
+    spark, to = rows.sparkSession, scratch(rows.sparkSession)
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(to)
+    placed = spark.read.parquet(to)
     sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     shift, shifts = start, {}
     for p in sorted(sizes):

@@ -188,6 +188,21 @@ def test_canonical_and_hashes():
     assert abs(float((v * v).sum()) - 1) < 1e-6 and (v == C.mock_embedding("x", 8)).all()
 
 
+def test_canonical_column_is_the_same_in_both_ways(spark):
+    from pyspark.sql import functions as F
+
+    texts = ['{"b": 1, "a": {"d": [true, null, "x"], "c": -5}}', '{"a": 1.0}', '{"a": 1e3, "b": "é"}', '{"k": 1, "k": 2}', '{"B": 1, "a": 2, "_": 3, "A1": 4, "A": 5}', "[]", "{}", '"x"', "7", "nope", "", '{"a": 123456789012345678901234567890}', '{"v": "1.5"}', '{"n": "a\\nb/"}', ' { "a" :\n[ 1 ,2 ] } ', '{"a": -0}', '{"a": 18446744073709551615}']
+
+    def want(t):
+        try:
+            return C.canonical(json.loads(t))
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", C.canonical_json("t").alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [*map(want, texts), None]
+
+
 def test_crypto():
     k = crypto.derive_key(b"m", "a")
     assert len(k) == 32 and k != crypto.derive_key(b"m", "b")
