@@ -35,3 +35,10 @@ def sort_value(name: str) -> Column:
     if name == "created_at_ms":
         return F.col("created_at_ms").cast("string")
     return F.coalesce(F.to_json(Field(F.col("data"), name).v), F.lit("null"))
+
+
+def facts(records: DataFrame) -> DataFrame:
+    """Fact records with their payload as columns: statement and topic (empty if there is none), confidence (0 if it is no number), sources, rationale, what they supersede."""
+    f = F.from_json("data", "statement string, topic string, confidence double, derived_from array<string>, rationale string, supersedes string")
+    part = records.withColumn("_f", f)
+    return part.select("record_id", "namespace", "created_at_ms", F.coalesce("_f.statement", F.lit("")).alias("statement"), F.coalesce("_f.topic", F.lit("")).alias("topic"), F.coalesce("_f.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("_f.derived_from", F.array().cast("array<string>")).alias("derived_from"), "_f.rationale", "_f.supersedes")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crypto import open_sealed, seal
 from ..functions.scalars import normalized, vector_error
+from ..schema import VECTOR
 from .store import latest
 
 #: Cosines that a task holds at once, and query vectors that go out at once.
@@ -154,8 +155,13 @@ def save_index(index: DataFrame, path: str, version: int, key: bytes | None = No
 
 
 def open_index(spark, path: str, key: bytes | None = None) -> DataFrame:
-    """The newest version of an index; a vector that was tampered with, or another key, fails the read."""
-    rows = spark.read.parquet(path)
+    """The newest version of an index, an empty one if none was written; a vector that was tampered with, or another key, fails the read."""
+    try:
+        rows = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], VECTOR)
     rows = rows.where(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
     if key is None:
         return rows

@@ -605,9 +605,20 @@ def _(spark, sf):
     return sure.select("topic", F.lit(True).alias("merged")).unionByName(held.select("topic", F.lit(False).alias("merged")))
 
 
-@add("digest_report", f"WITH {EPI} SELECT count(*) AS facts_total, count(*) FILTER (confidence >= 0.75) AS auto_merged, count(*) FILTER (confidence < 0.75) AS held FROM facts")
+@add("digest_report", f"WITH {EPI} SELECT count(*) AS facts_total, count(*) FILTER (confidence >= 0.75) AS auto_merged, count(*) FILTER (confidence < 0.75) AS held, count(*) FILTER (topic LIKE 'events.%') AS indexed FROM facts")
 def _(spark, sf):
-    return D.report(D.digest(A.episodes(spark, sf)))
+    facts = D.digest(A.episodes(spark, sf))
+    rows = facts.where(F.col("topic").startswith("events.")).select(F.lit("facts").alias("namespace"), F.col("topic").alias("record_id"), F.col("statement").alias("text"))
+    return D.report(facts, index=V.index_rows(E.ingest_text(rows, E.MockEmbedder(16)), 16))
+
+
+@add("fact_projection", f"WITH {EPI} SELECT topic, CASE WHEN length(line) > 120 THEN substr(line, 1, 120) || '…' ELSE line END AS statement, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.75 THEN 1 ELSE 0 END AS n_sources, 'facts' AS namespace FROM facts")
+def _(spark, sf):
+    """Facts written as records and read back as columns; those held for review without sources."""
+    found = D.digest(A.episodes(spark, sf))
+    sure, held = D.split(found.withColumn("derived_from", F.array(F.lit("x"))))
+    rows = D.fact_records(sure, "facts", "facts/main", "me", NOW).unionByName(D.fact_records(held.withColumn("derived_from", F.lit(None).cast("array<string>")), "facts", "facts/review", "me", NOW))
+    return J.facts(rows).select("topic", "statement", F.round("confidence", 6).alias("confidence"), F.size("derived_from").alias("n_sources"), "namespace")
 
 
 @add("digest_lineage", f"WITH {EPI} SELECT topic, count(*) AS n, max(seq) AS last FROM epi GROUP BY 1")
@@ -841,6 +852,18 @@ def _(spark, sf):
     return B.read_wal(spark, to).select(F.col("tx_id").cast("int").alias("tx_id"), F.array_join("entries", ",").alias("entries"))
 
 
+@add("wal_commit_and_truncate", "SELECT * FROM (VALUES (2, 'b'), (3, 'c')) AS t(tx_id, entries)")
+def _(spark, sf):
+    to = scratch(spark)
+    B.append_wal(spark, to, ["a"])
+    B.append_wal(spark, to, ["b"], committed=False)
+    B.append_wal(spark, to, ["c"])
+    B.append_wal(spark, to, ["d"], committed=False)
+    B.commit_wal(spark, to, 2)
+    B.truncate_wal(spark, to, 1)
+    return B.read_wal(spark, to).select(F.col("tx_id").cast("int").alias("tx_id"), F.array_join("entries", ",").alias("entries"))
+
+
 @add("results_as_json", f"WITH {EV} SELECT record_id, type, value FROM ev")
 def _(spark, sf):
     to = scratch(spark)

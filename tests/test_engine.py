@@ -221,6 +221,60 @@ def test_vectors(spark):
         vectors.scores(index, [(0, [0.0, 0.0, 0.0])], 1)
 
 
+def test_running_best_and_threshold(spark, monkeypatch):
+    """Ties beyond k go by name, over many slices of many batches; the threshold keeps all."""
+    monkeypatch.setattr(vectors, "CELLS", 8)
+    rows = [("n", f"r{i:03d}", [1.0, float(i % 4)]) for i in range(200)]
+    index = spark.createDataFrame(rows, "namespace string, record_id string, embedding array<float>").repartition(3)
+    got = vectors.top_k(index, [(7, [1.0, 0.0]), (8, [0.0, 1.0])], 5).orderBy("qid", "rank").collect()
+    assert [r["record_id"] for r in got] == ["r000", "r004", "r008", "r012", "r016", "r003", "r007", "r011", "r015", "r019"]
+    assert vectors.within(index, [(7, [1.0, 0.0])], 0.9).count() == 50 and vectors.within(index, [(7, [1.0, 0.0])], 0.5).count() == 100
+
+
+def test_index_on_disk(spark, tmp_path):
+    path, key = str(tmp_path / "index"), crypto.vector_key(b"m", "n")
+    assert vectors.open_index(spark, path, key).count() == 0
+    index = spark.createDataFrame([("n", "a", [0.1, 0.7]), ("n", "b", [1.0, 0.0])], "namespace string, record_id string, embedding array<float>")
+    vectors.save_index(index, path, 1, key)
+    vectors.save_index(index.where("record_id = 'a'"), path, 2, key)
+    assert [(r["record_id"], r["embedding"]) for r in vectors.open_index(spark, path, key).collect()] == [("a", index.first()["embedding"])]
+    with pytest.raises(Exception, match="does not open"):
+        vectors.open_index(spark, path, crypto.vector_key(b"m", "other")).collect()
+
+
+def test_sealed_deltas(spark, tmp_path):
+    rows = records(spark, [{"a": 1}]).selectExpr("*", "'b' as branch", "'put' as op", "created_at_ms as seq", "cast(null as bigint) origin_seq", "false as is_tombstone", "true as tail_visible")
+    key = crypto.namespace_key(b"m", "n")
+    assert sync.push(rows, str(tmp_path), "dev", "n", key) == 1000
+    back = sync.deltas(spark, str(tmp_path), "n", key).first()
+    assert (back["record_id"], back["data"], back["device_id"], back["to_cursor"]) == ("r0", '{"a": 1}', "dev", 1000)
+    with pytest.raises(Exception, match="does not open"):
+        sync.deltas(spark, str(tmp_path), "n", crypto.namespace_key(b"m", "x")).collect()
+
+
+def test_versions(spark, tmp_path):
+    links = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("x", "b"), ("e", "d"), ("lone", "gone")]
+    rows = spark.createDataFrame(links, "record_id string, previous_version string")
+    got = {(r["record_id"], r["version_of"], r["steps"]) for r in S.version_chain(rows, str(tmp_path / "v")).collect()}
+    chain = "abcde"
+    want = {(chain[i], chain[j], i - j) for i in range(5) for j in range(i)} | {("x", "b", 1), ("x", "a", 2), ("lone", "gone", 1)}
+    assert got == want
+    assert {(a, b, s) for a, b, s in want if s <= 3} == {(r["record_id"], r["version_of"], r["steps"]) for r in S.version_chain(rows, str(tmp_path / "w"), 3).collect()}
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "record_id string, previous_version string")
+    with pytest.raises(S.StoreError):
+        S.version_chain(loop, str(tmp_path / "x"))
+
+
+def test_budget_of_a_digest_stream(spark, tmp_path):
+    """The prompt budget defers episodes to a later pass, in the stream as well."""
+    log = records(spark, [{"topic": "t", "text": f"{i:04d}"} for i in range(12)]).selectExpr("*", "'n/main' as branch", "'put' as op", "created_at_ms as seq", "cast(null as bigint) origin_seq", "false as is_tombstone", "true as tail_visible")
+    log.write.parquet(str(tmp_path / "log"))
+    config = digest.DigestConfig(prompt_chars=700, gates=digest.Gates(0, 1))
+    for _ in range(2):  # the second run finds nothing new
+        tail.digest_stream(tail.tail_stream(spark, str(tmp_path / "log"), "n"), str(tmp_path / "out"), "facts", "me", lambda: 10**9, config).awaitTermination()
+        sizes = [len(json.loads(r["data"])["derived_from"]) for r in spark.read.parquet(str(tmp_path / "out" / "facts")).collect()]
+        assert sum(sizes) == 12 and len(sizes) >= 2 and max(sizes) < 12
+
 def test_digest_parts(spark):
     rows = [{"topic": "w", "text": "é" * 130}, {"topic": "w", "rule": "r"}, {"topic": 5, "rule": "only rule"}, {"topic": "q", "text": 3}]
     e = records(spark, rows).selectExpr("*", "created_at_ms as seq")
