@@ -20,14 +20,17 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import CACHE_ENTRIES, chunks
+from .common import CACHE_ENTRIES, chunks, list_column
 
 SHORT_WORD = 256
+#: Bytes of text encoded at once: the ids of a chunk and the strings of its words stay in memory until it is done.
+CHUNK = 1 << 20
 
 # The vocabulary's splitting pattern, spelled for Latin-1 text.
 _SPACE = r"\t-\r \x85\xa0"
@@ -189,13 +192,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             out: dict[str, list] = {name: [] for name, _ in fields}
+            numbers: list[np.ndarray] = []
             for text in batch.column("text").to_pylist():
                 strings, n, parts = bpe.pieces(text or "")
                 out["n_tokens"].append(n)
                 if ids:
-                    out["token_ids"].append([int(i) for i in " ".join(strings).split()])
+                    numbers.append(np.fromstring(" ".join(strings), dtype=np.int32, sep=" ") if n else np.empty(0, np.int32))
                 if decoded or digests:
                     whole = " ".join(parts)
                     if decoded:
@@ -203,9 +207,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                     if digests:
                         out["ids_sha256"].append(sha(" ".join(strings)))
                         out["decoded_sha256"].append(sha(whole))
-            out["doc_id"] = batch.column("doc_id")
-            kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array(out[name], kinds[kind]) if name != "doc_id" else out[name] for name, kind in fields], [name for name, _ in fields])
+            columns = {"doc_id": batch.column("doc_id")}
+            if ids:
+                columns["token_ids"] = list_column(np.concatenate(numbers), np.array(list(map(len, numbers))), pa.int32())
+            kinds = {"long": pa.int64(), "string": pa.string()}
+            yield pa.RecordBatch.from_arrays([columns[name] if name in columns else pa.array(out[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields))
