@@ -26,6 +26,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 8 << 20
 
+#: Partitions that a shuffle is asked for at most; beyond, a task gets several groups, one after the other.
+MOST_TASKS = 1 << 16
+
 #: Entries after which a per-worker word cache starts afresh.
 CACHE_ENTRIES = 400_000
 
@@ -95,22 +98,9 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, rid, text``: ``rid`` tells rows apart that share a doc_id.
-
-    Rows that agree in id and text agree in ``rid``; they are true repeats
-    and get the same result.
-    """
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("rid"),
-        F.col(text_col).alias("text"),
-    )
-
-
-def same_doc(a: DataFrame, b: DataFrame):
-    """Join condition on ``doc_id`` (null-safe) and ``rid``."""
-    return (a["rid"] == b["rid"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+def tasks_for(groups: int) -> int:
+    """A partition for each group, within bounds."""
+    return max(8, min(groups, MOST_TASKS))
 
 
 _lean: list[bool] = []

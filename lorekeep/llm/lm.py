@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lean_memory, mix, packed, raw_texts, release, saved, unpacked, word_hashes, work_folder
+from .common import WordHashes, chunks, lean_memory, mix, packed, raw_texts, release, saved, tasks_for, unpacked, word_hashes, work_folder
 
 CHUNK = 8 << 20
 #: Slices that a chunk sends, and slices that a task adds up.
@@ -164,7 +164,7 @@ def _answered(slices: DataFrame, tasks: int, folder: str, depth: int = 1) -> Dat
             return s.rows(s.answers(s.counts, words and s.kind == 1), [int(train.sum()), int((train > 0).sum()), int(kept.sum()), int((kept > 0).sum())])
 
         ranges = 2 * FAN_OUT**depth
-        return saved(slices.repartition(min(ranges, 1 << 17), "kind", "shard").groupBy("kind", "shard").applyInArrow(settle, _ANSWER), f"{folder}/answers-{depth}", "kind")
+        return saved(slices.repartition(tasks_for(ranges), "kind", "shard").groupBy("kind", "shard").applyInArrow(settle, _ANSWER), f"{folder}/answers-{depth}", "kind")
 
     if words:
         slices = saved(slices, f"{folder}/counted", "kind")
@@ -178,7 +178,7 @@ def _answered(slices: DataFrame, tasks: int, folder: str, depth: int = 1) -> Dat
         rows = [(node(s.kind, s.shard, at), s.kind, x, data) for x, data in _slices(s.keys, s.counts, s.kind, s.shard, depth + 1)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "kind", "shard", "payload"])
 
-    ranges = min(2 * FAN_OUT**depth * tasks, 1 << 17)
+    ranges = tasks_for(2 * FAN_OUT**depth * tasks)
     merged = saved(dealt.repartition(ranges, "kind", "shard", "batch").groupBy("kind", "shard", "batch").applyInArrow(merge, "part string, kind int, shard long, payload binary"), f"{folder}/merged-{depth}")
     merged = merged.withColumns({"train_docs": F.lit(None).cast("long"), "kept_docs": F.lit(None).cast("long")})
     above = _answered(merged, -(-tasks // FAN_IN), folder, depth + 1)
@@ -275,7 +275,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     is_held = lambda c: F.endswith(F.col(c), F.lit(_HELD))
 
     def joined(streams: DataFrame, slices: DataFrame, tasks: int):
-        tasks = max(8, tasks)
+        tasks = tasks_for(tasks)
         return streams.select("part", "payload").repartition(tasks, "part").groupBy("part").cogroup(slices.repartition(tasks, "chunk").groupBy("chunk"))
 
     both = joined(streams, slices, parts)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, word_hashes, worker_hashes
+from .common import WordHashes, chunks, lean_memory, mix, prefix_hashes, raw_texts, saved, sliding_hashes, sliding_leftmost_min, span_hashes, tasks_for, word_hashes, worker_hashes
 
 #: Kinds of runs of one anchor, summed over chunks, beyond which they are dealt by window: as many as a task settles in some 200 MB.
 CROWD = 20_000
@@ -257,7 +257,7 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
 
     first = saved(docs.mapInArrow(scan, f"kind int, cid long, {Chunk.SCHEMA}, key long, n int, kinds int"), f"{folder}/chunks", "kind")
     corpus = first.where(F.col("kind") == _CHUNK).select("cid", "head", "body")
-    n_chunks = max(8, corpus.count())
+    n_chunks = tasks_for(corpus.count())
     found = saved(_recurring_keys(first.where(F.col("kind") == _KEYS)), f"{folder}/anchors")
     known = found.select(F.col("cid").alias("in"), "key", F.when(F.col("crowded"), _CROWDED).otherwise(_ANCHOR).alias("how"))
 
@@ -319,7 +319,7 @@ def recurring(docs: DataFrame, units: Units, folder: str, settle: Settle) -> tup
         columns = zip(*rows) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=names)
 
-    tasks = max(16, -(-known.count() // TASK_ROWS))
+    tasks = tasks_for(-(-known.count() // TASK_ROWS))
     dealt = corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(known.repartition(n_chunks, "in").groupBy("in")).applyInArrow(deal, "key long, cid long, piece binary, places binary, ranges binary")
     marked = dealt.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_settled(settle), "cid long, ranges binary")
     return corpus, saved(marked, f"{folder}/found")
@@ -335,6 +335,6 @@ def applied(corpus: DataFrame, found: DataFrame, judge: Callable[[Chunk, list[tu
         cuts = np.searchsorted(d, np.arange(len(chunk.texts) + 1))
         return judge(chunk, [(a[i:j], b[i:j]) for i, j in zip(cuts, cuts[1:])])
 
-    n_chunks = max(8, corpus.count())
+    n_chunks = tasks_for(corpus.count())
     marks = found.select(F.col("cid").alias("in"), "ranges")
     return corpus.repartition(n_chunks, "cid").groupBy("cid").cogroup(marks.repartition(n_chunks, "in").groupBy("in")).applyInArrow(run, schema)
