@@ -234,6 +234,34 @@ def test_fingerprint_by_bits():
     assert simhash.simhash(simhash.shingle_hashes(b"One two")) == xxhash.xxh64_intdigest(b"one two", 42)
 
 
+@needs_tables
+def test_fingerprints_of_documents(spark):
+    import xxhash
+
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()
+    want = {}
+    for r in docs_of(spark).collect():
+        w = lower(r["text"])
+        grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        want[r["doc_id"]] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in simhash.fingerprints(docs_of(spark)).collect()} == want
+
+
+@pytest.mark.parametrize("master, alone", [("local", True), ("local[4]", True), ("local-cluster[3,2,1024]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_a_cluster_needs_a_shared_folder(master, alone):
+    from types import SimpleNamespace
+
+    from lorekeep.llm import common
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master=master))
+    if alone:
+        assert os.path.isdir(common._local_top(session))
+    else:
+        with pytest.raises(ValueError):
+            common._local_top(session)
+
+
 def test_bk_trees():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
