@@ -162,6 +162,30 @@ def test_store_scenario(spark, tmp_path):
     s.abandon_branch("n/loop")
 
 
+def test_conflicts_are_counted(spark, tmp_path, monkeypatch):
+    """A refused merge names some conflicts and counts all."""
+    monkeypatch.setattr(S, "MOST_CONFLICTS", 2)
+    s = S.RecordStore(spark, str(tmp_path))
+    s.create_namespace("n", "n", "ann", 1)
+    s.create_branch("n/b", "n", "n/main", "b", 2)
+    rows = records(spark, [{"a": i} for i in range(5)])
+    s.put(rows, "n/main")
+    s.put(rows, "n/b")
+    done = s.merge("n/b")
+    assert (done.merged, done.conflicts, done.n_conflicts) == (0, ["r0", "r1"], 5)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lorekeep.session import scratch
+
+    nothing = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        scratch(nothing)
+    assert scratch(spark) != scratch(spark)
+
+
 def test_ancestry_stops_at_a_cycle(spark):
     b = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string")
     assert S.ancestry(b, "a") == [("a", 0), ("b", 1)]
