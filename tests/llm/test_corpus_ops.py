@@ -589,7 +589,7 @@ def test_operator_links_what_brute_force_links(spark):
     assert np.mean([got[i] == got[j] for i, j in pairs]) >= 0.95 and all(g // 4 == i // 4 for i, g in got.items())
 
 
-@pytest.mark.parametrize("crowd", [4, 64])
+@pytest.mark.parametrize("crowd", [4, 1000])
 def test_crowded_buckets(spark, monkeypatch, crowd):
     """Copies of one picture, and of another with the same half, in few or many rows of a bucket."""
     monkeypatch.setattr(media, "CROWD", crowd)
