@@ -615,24 +615,3 @@ def test_crop_of_a_large_image_matches():
     draw = lambda: media.gray(media.picture(rng.normal(size=64).tolist(), 0)) - 128
     large = 128 + np.block([[draw() * (0.4 if (y, x) == (2, 1) else 1) for x in range(4)] for y in range(4)])
     assert media.consensus(media.features(large), media.features(large[250:390, 120:260])) >= 2 * media.INLIERS
-
-
-# -- pipeline -----------------------------------------------------------------------------------------
-
-
-@needs_tables
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    docs = docs_of(spark)
-    names = docs.columns
-    counts = [docs.count()]
-    for name, stage in p.STAGES:
-        docs = stage(spark, docs, SF).cache()
-        counts.append(docs.count())
-        if name != "bpe":
-            assert docs.columns == names
-    assert counts[0] >= counts[1] > 0.97 * counts[0] and counts[1] > counts[2] == counts[3] and counts[4] > 0
-    assert p.run(spark, SF).count() == counts[-1]
-    for _, stage in p.STAGES:
-        assert stage(spark, docs_of(spark).limit(0), SF).count() == 0

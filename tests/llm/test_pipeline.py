@@ -68,3 +68,14 @@ def test_stages(spark):
     want = Counter((r["doc_id"], tuple(library.encode(r["text"], add_special_tokens=False).ids)) for r in mix.collect())
     assert Counter((r["doc_id"], tuple(r["token_ids"])) for r in coded.collect()) == want
     assert all(r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest() for r in coded.collect())
+
+
+def test_run_and_empty_tables(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = p.run(spark, SF)
+    assert got.columns == ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"] and got.count() > 150
+    for name, stage in p.STAGES:
+        nothing = stage(spark, docs.limit(0), SF)
+        assert nothing.count() == 0 and (name == "bpe" or nothing.columns == docs.columns)
