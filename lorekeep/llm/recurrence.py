@@ -39,6 +39,8 @@ from .common import WordHashes, chunks, forget, lean_memory, mix, prefix_hashes,
 CROWD = 20_000
 #: Occurrences of one piece that a chunk sends along; further ones share the verdict, as they are the same text.
 LOCAL = 16
+#: Units hashed at once, so that their arrays stay in the processor's cache.
+PIECE = 1 << 16
 #: Distinct pieces settled at once, and rows of pieces for each task.
 PIECES = 4000
 TASK_ROWS = 20_000
@@ -73,7 +75,7 @@ def runs_of(values: list[np.ndarray], units: Units) -> tuple[np.ndarray, ...]:
     Documents longer than a piece are taken in pieces that overlap by a
     window; a run that a cut divides is merely compared more finely.
     """
-    size, piece = units.length, 1 << 20
+    size, piece = units.length, PIECE
     parts = [(d, at, v[at : at + piece + size - 1]) for d, v in enumerate(values) for at in range(0, max(len(v) - size + 1, 0), piece)]
     out = []
     while parts:

@@ -185,6 +185,38 @@ def test_merged_transforms_find_all_repeats(monkeypatch, part, length):
         assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("part", [300, 1 << 20])
+def test_wide_symbols_find_all_repeats(monkeypatch, part):
+    """Symbols of more bytes than a number holds."""
+    monkeypatch.setattr(bwt, "PART", part)
+    rng = random.Random(part)
+    base = bytes(rng.randrange(256) for _ in range(200))
+    texts = [base[a : a + rng.randrange(80)] + bytes(rng.choice(b"\0\1") for _ in range(rng.randrange(30))) for a in (rng.randrange(180) for _ in range(60))]
+    want, got = defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for o in range(len(t) - 19):
+            want[t[o : o + 20]].add((i, o))
+    for i, o, k in zip(*(x.tolist() for x in bwt.repeated_windows(texts, 20))):
+        got[k].add((i, o))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_merge_sorts_only_rows_of_changed_blocks(monkeypatch):
+    """Each pass once sorted all rows, also those that no longer move."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 256, 2000).astype(np.uint8).tobytes() for _ in range(3)]
+    texts[2] = texts[0][500:900] + texts[2]
+    parts = []
+    for t in texts:
+        s, *_ = bwt.symbols_of([t], 1)
+        parts.append((bwt.transform(s.astype(np.int64), 1)[1], 1))
+    seen, real = [], bwt.ordered
+    monkeypatch.setattr(bwt, "ordered", lambda keys, most: seen.append(len(keys)) or real(keys, most))
+    source, prefix = bwt.merge(parts, 100)
+    assert len(source) == sum(map(len, texts)) + 3 and prefix.max() == 100
+    assert sum(seen) < 20 * len(source)
+
+
 def test_merge_gives_order_and_common_prefixes():
     texts = [b"banana", b"ananas", b"nab", b"bandana"]
     parts = []
